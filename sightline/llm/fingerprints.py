@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sightline.llm.common import let
+
 SUBTABLES, CELLS = 3, 8
 ROUNDS = 9
 #: Documents are dealt into at most so many ranges of ids.
@@ -26,11 +28,6 @@ _CELL = "struct<c:int,k:bigint,h:bigint>"
 _FOUND = "array<struct<k:bigint,c:int>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs; none for null and blank texts."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(x) != "")
