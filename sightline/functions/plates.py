@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sightline.functions.text import _c, clean_text
+from sightline.plans.lineage import let
 
 # State codes, confusable characters.
 STATES = "AN AP AR AS BR CG CH DD DL DN GA GJ HP HR JH JK KA KL LA LD MH ML MN MP MZ NL OD PB PY RJ SK TN TR TS UK UP WB".split()
@@ -65,24 +66,23 @@ def _windows(text: Column, series: int, number: int, order: int, score, valid: s
 
 
 def _picked(windows: list[Column]) -> Column:
-    best = F.array_min(F.concat(*windows))
-    return F.struct(F.coalesce(best["plate"], F.lit("")).alias("plate"), F.coalesce(best["own_cost"], F.lit(-1)).alias("cost"), F.coalesce(best["removed"], F.lit(999)).alias("removed"), F.coalesce(best["start"] - 1, F.lit(-1)).alias("start"))
+    return let(F.array_min(F.concat(*windows)), lambda best: F.struct(F.coalesce(best["plate"], F.lit("")).alias("plate"), F.coalesce(best["own_cost"], F.lit(-1)).alias("cost"), F.coalesce(best["removed"], F.lit(999)).alias("removed"), F.coalesce(best["start"] - 1, F.lit(-1)).alias("start")))
 
 
 def parse_plate(raw: Column | str) -> Column:
     """plate, cost, removed, start: the best window of nine or ten characters, by cost + 0.25 removed -
     0.02 length, then cost, then characters removed, then shorter and earlier; no window gives '', -1, 999, -1."""
-    text = clean_text(raw)
     score = lambda cost, removed, size: cost * 100 + removed * 25 - 2 * size
-    # ties by cost, then removed: for one text, fewer removed is the longer window, so 10 comes before 9
-    windows = [_windows(text, s, 4, -order, score, PLAUSIBLE) for order, s in ((2, 1), (1, 2))]
-    return _picked(windows)
+    return let(clean_text(raw), lambda text: _picked([_windows(text, s, 4, -order, score, PLAUSIBLE) for order, s in ((2, 1), (1, 2))]))
 
 
 def parse_fused(raw: Column | str) -> Column:
     """The parser of the two-line fusion: series of 1-3 letters, numbers of 1-4 digits, by cost + 0.35
     removed - 0.01 length only; a text that is a BH number is one more candidate, of score -0.1."""
-    text = clean_text(raw)
+    return let(clean_text(raw), _fused)
+
+
+def _fused(text: Column) -> Column:
     score = lambda cost, removed, size: cost * 100 + removed * 35 - size
     masks = [(s, n) for s in (1, 2, 3) for n in (1, 2, 3, 4)]
     windows = [_windows(text, s, n, k, score, f"^{STATE}[0-9]{{2}}[A-Z]{{{s}}}[0-9]{{{n}}}$") for k, (s, n) in enumerate(masks, 1)]
@@ -93,14 +93,16 @@ def parse_fused(raw: Column | str) -> Column:
 
 def correct_standard(raw: Column | str) -> Column:
     """plate and cost of the whole text under the twelve standard masks, first of least cost; null if none."""
-    text = clean_text(raw)
+    return let(clean_text(raw), _standard)
+
+
+def _standard(text: Column) -> Column:
     found = []
     for k, (s, n) in enumerate((s, n) for s in (1, 2, 3) for n in (1, 2, 3, 4)):
         plate, cost = _repaired(_parts(text, 1, s, n), TO_DIGIT_OLD)
         fits = (F.length(text) == 4 + s + n) & plate.rlike(f"^{STATE}[0-9]{{2}}[A-Z]{{{s}}}[0-9]{{{n}}}$")
         found.append(F.when(fits, F.struct(cost.alias("cost"), F.lit(k).alias("k"), plate.alias("plate"))))
-    best = F.array_min(F.array(*found))
-    return F.when(best.isNotNull(), F.struct(best["plate"].alias("plate"), best["cost"].alias("cost")))
+    return let(F.array_min(F.array(*found)), lambda best: F.when(best.isNotNull(), F.struct(best["plate"].alias("plate"), best["cost"].alias("cost"))))
 
 
 def correct_bh(raw: Column | str) -> Column:
@@ -113,9 +115,11 @@ def correct_bh(raw: Column | str) -> Column:
 
 def correct_plate(raw: Column | str) -> Column:
     """The cheaper of the standard and the BH correction (standard on a tie); null above a cost of 2."""
-    s, b = correct_standard(raw), correct_bh(raw)
-    best = F.when(s.isNotNull() & (b.isNull() | (s["cost"] <= b["cost"])), s).otherwise(b)
-    return F.when(best["cost"] <= 2, best)
+
+    def cheaper(s: Column, b: Column) -> Column:
+        return let(F.when(s.isNotNull() & (b.isNull() | (s["cost"] <= b["cost"])), s).otherwise(b), lambda best: F.when(best["cost"] <= 2, best))
+
+    return let(correct_standard(raw), lambda s: let(correct_bh(raw), lambda b: cheaper(s, b)))
 
 
 def plausible_counts(text: Column | str) -> Column:
