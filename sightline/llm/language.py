@@ -82,8 +82,11 @@ def fit(rows: list[tuple[str, str]], alpha: float = 0.5) -> Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model:
     """The model of at most SAMPLE labelled rows; repeated rows count once."""
     known = docs.filter(F.col(lang).isNotNull() & (F.trim(lang) != "") & F.col(text).isNotNull())
-    picked = known.select(F.xxhash64(id_col).alias("r"), F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))
-    return fit([(r.lang, r.t) for r in picked.orderBy("r", "lang", "t").limit(SAMPLE).distinct().collect()])
+    rank = F.xxhash64(id_col)
+    # ids first, so that no text is carried to the one task that merges the lists of the others
+    ids = known.select(F.col(id_col).alias("_id"), rank.alias("r")).orderBy("r", "_id").limit(SAMPLE).select("_id").distinct()
+    got = known.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id"))).groupBy("_id").agg(F.min(F.struct(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))).alias("s"))
+    return fit(sorted((r.s.lang, r.s.t) for r in got.collect()))
 
 
 def scored(rows: DataFrame, model: Model, text: str, keep: tuple[str, ...], html: bool = False) -> DataFrame:
