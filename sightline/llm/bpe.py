@@ -14,7 +14,10 @@ import base64
 import hashlib
 import heapq
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of a block. A longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 24_000_000
 
 _ROW = "bucket int, block string, kind int, body binary"
 
@@ -73,14 +76,13 @@ def _unpack(body: bytes) -> list[bytes]:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[str, list, list[str]]]:
-    """(name, ids, texts) of successive blocks of a task; a name tells the task and the block's number."""
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    ids: list = []
+    """(name, ids, texts) of successive blocks of a partition; a name tells the partition and the block's number."""
+    task, ids = None, []
     texts: list[str] = []
     size = k = 0
     for b in batches:
+        if b.num_rows:
+            task = b.column(2)[0].as_py()
         for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             if texts and size + len(t or "") > chars:
                 yield f"{task}.{k}", ids, texts
@@ -121,7 +123,7 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
     """id_col, n_tokens, ids_sha256, decoded_sha256 for each row; with_ids adds ids, array<int>.
 
     A null text counts as empty (no ids). Repeated rows are encoded like any other; no rows give no rows.
-    Ids are taken back to bytes by the table of token bytes, which is checked to be one to one. A block
+    Each word's ids are taken back to bytes by the table of token bytes, which is checked to be one to one. A block
     that finds words other than those it sent (a task that was run again over rows in another order)
     encodes the missing ones itself: its result is the same.
     """
@@ -131,7 +133,8 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary: its size doesn't depend on the data
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    # the partition's number in the scan itself: the task's own number would count the other side of a union
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.spark_partition_id().alias("part"))
     id_type = slim.schema["id"].dataType
 
     def send_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,29 +196,41 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
                 continue
             held = pa.ipc.open_stream(body).read_all()
             texts = held.column("text").to_pylist()
-            known: dict[bytes, bytes] = {}
-            seen: set[str] = set()
-            for t in texts:
-                seen.update(split.findall(t))
-            for k, words in _by_bucket(seen, buckets).items():
+            # each text becomes the numbers of its words by position; ids and bytes are kept for each word
+            number: dict[str, int] = defaultdict(count().__next__)
+            places = [array("I", map(number.__getitem__, split.findall(t))) for t in texts]
+            del texts
+            of_word: dict[bytes, int] = {w.encode("utf-8", "replace"): i for w, i in number.items()}
+            sizes = np.zeros(len(number), np.int64)
+            ids, listed, decoded = [b""] * len(number), [""] * len(number), [b""] * len(number)
+            for k, words in _by_bucket(number, buckets).items():
                 sent = came.pop(k, b"")
                 if sent[:8] == _mark(words):
-                    known.update(zip(words, _unpack(sent[8:])))
+                    packed = _unpack(sent[8:])
                 else:
-                    known.update((w, np.array(encode_word(w, table), "<u4").tobytes()) for w in words)
-            by_word = {w: known[w.encode("utf-8", "replace")] for w in seen}
-            del known, seen
-            for lo in range(0, len(texts), 512):
+                    packed = [np.array(encode_word(w, table), "<u4").tobytes() for w in words]
+                flat = np.frombuffer(b"".join(packed), "<u4").tolist()
+                names, tokens = list(map(str, flat)), list(map(to_bytes.__getitem__, flat))
+                at_token = 0
+                for w, e in zip(words, packed):
+                    i, end = of_word[w], at_token + len(e) // 4
+                    if with_ids:
+                        ids[i] = e
+                    sizes[i], listed[i], decoded[i] = end - at_token, ",".join(names[at_token:end]), b"".join(tokens[at_token:end])
+                    at_token = end
+            del number, of_word
+            for lo in range(0, len(places), 512):
                 out: list[tuple] = []
-                for t in texts[lo : lo + 512]:
-                    ids = np.frombuffer(b"".join([by_word[w] for w in split.findall(t)]), "<u4")
-                    listed = ids.tolist()
-                    decoded = b"".join([to_bytes[i] for i in listed])
-                    out.append((len(listed), hashlib.sha256(",".join(map(str, listed)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), listed))
+                for at_words in places[lo : lo + 512]:
+                    n = int(sizes[np.frombuffer(at_words, np.uint32)].sum()) if at_words else 0
+                    text_ids = ",".join(map(listed.__getitem__, at_words))
+                    back = b"".join(map(decoded.__getitem__, at_words))
+                    all_ids = np.frombuffer(b"".join(map(ids.__getitem__, at_words)), "<u4") if with_ids else None
+                    out.append((n, hashlib.sha256(text_ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), all_ids))
                 cols = [held.column("id").slice(lo, 512).combine_chunks(), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())]
                 names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    cols, names = [*cols, pa.array([o[3] for o in out], pa.list_(pa.int32()))], [*names, "ids"]
+                    cols, names = [*cols, pa.array([o[3].astype(np.int32) for o in out], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     ids = slim.mapInArrow(send_words, _ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode, _ROW)
