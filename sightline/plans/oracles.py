@@ -147,7 +147,7 @@ ORACLES: dict[str, str] = {
     "hash_sample": f"SELECT image_id FROM {_IMG} ORDER BY md5(image_id || '|42'), image_id LIMIT 50",
     "mixed_dataset": f"SELECT * FROM {_MIX}",
     "domain_shares": f"SELECT domain, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM {_MIX} GROUP BY 1",
-    "region_rows": f"""WITH r AS (SELECT DISTINCT ON (image, y, x) *, round_even(y / 30, 0)::BIGINT AS k FROM ({plain(views.REGIONS)}))
+    "region_rows": f"""WITH r AS (SELECT *, round_even(y / 30, 0)::BIGINT AS k FROM ({plain(views.REGIONS)}))
         SELECT image, string_agg(text, '' ORDER BY k, x, text) AS text, round(coalesce(sum(conf * length(text)) / nullif(sum(length(text)), 0), 0), 9) AS confidence FROM r GROUP BY 1""",
     "latency_medians": """SELECT event_type, list_sort(list(value))[(count(*) // 2 + 1)::INT] AS upper, median(value) AS middle, round(avg(CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END), 6) AS extra,
         round(CASE WHEN avg(value) > 0 THEN 1000.0 / avg(value) ELSE 0 END, 6) AS fps FROM events GROUP BY 1""",

@@ -278,7 +278,7 @@ def domain_shares(spark, d):
 
 @query
 def region_rows(spark, d):
-    return layout.rows_by_bucket(view(spark, d, views.REGIONS).dropDuplicates(["image", "y", "x"]), "image")
+    return layout.rows_by_bucket(view(spark, d, views.REGIONS), "image")
 
 
 @query

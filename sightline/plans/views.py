@@ -16,7 +16,7 @@ _PLATE = (
 _P = f"({_PLATE})"
 OBSERVATIONS = f"""
 SELECT CAST(l_orderkey AS BIGINT) AS track_id, CAST(l_linenumber * 7 AS BIGINT) AS frame,
-       CAST(((l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey) * 1000 + l_suppkey % 1000 AS BIGINT) AS ord, {_P} AS truth,
+       CAST(((l_orderkey * 100 + l_linenumber) * 1000000 + l_partkey) * 1000 + (l_suppkey * 37 + CAST(l_quantity AS BIGINT) * 13 + CAST(floor(l_extendedprice) AS BIGINT)) % 1000 AS BIGINT) AS ord, {_P} AS truth,
        CASE WHEN l_partkey % 11 = 0 THEN ''
             WHEN l_partkey % 4 = 1 THEN substr({_P}, 1 + CAST(l_partkey % 3 AS INT), 7)
             WHEN l_linenumber % 3 = 0 THEN translate({_P}, '0158', 'OISB')
