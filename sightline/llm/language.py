@@ -196,12 +196,8 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs whose language is accepted, with the columns of docs. lang counts as declared, and
     source as the host; documents have no address, so they have no suffix. Verdicts are joined by doc_id
     and a hash of the text, so rows that share an id are judged apart. A null text is rejected."""
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    named = hashed.select("doc_id", "_th", "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.col("source").alias("domain"), F.lit(None).cast("string").alias("suffix"))
+    named = docs.select("doc_id", F.xxhash64("text").alias("_th"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.col("source").alias("domain"), F.lit(None).cast("string").alias("suffix"))
     verdicts = fuse(scored(named, model, "text", ("doc_id", "_th", "declared", "host", "domain", "suffix")), model, ("doc_id", "_th"))
-    return verdicts_apply(hashed, verdicts).select(*docs.columns)
-
-
-def verdicts_apply(hashed: DataFrame, verdicts: DataFrame) -> DataFrame:
     gone = verdicts.filter("not accepted").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h")).distinct()
-    return hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_th").eqNullSafe(F.col("_h")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
+    return rows.join(gone, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_h")), "left_anti").select("_row.*")

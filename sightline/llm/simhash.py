@@ -241,10 +241,11 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 6, blocks: int = 8
     """One document of each linked group stays: the one with the smallest doc_id (a tie goes to the
     smaller text hash, and of rows that agree in both, one stays). Columns are those of docs. The wider
     radius lets texts through that share about nine tenths of their five-word shingles."""
-    hashed = docs.withColumn("_th", F.xxhash64("text"))
-    prints = cut(with_fingerprint(hashed, shingle, keep=("doc_id", "_th")).withColumn("id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).select("id", "fp"))
+    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
+    prints = cut(with_fingerprint(slim, shingle, keep=("doc_id", "_th")).withColumn("id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).select("id", "fp"))
     groups = near_groups(prints, radius, blocks, "id")
     stay = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id.doc_id").alias("_id"), F.col("id._th").alias("_h")).distinct()
-    kept = hashed.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_th").eqNullSafe(F.col("_h")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
+    kept = rows.join(stay, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_h")))
     first = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
+    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("_row.*")
