@@ -17,7 +17,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,14 +94,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[str
         yield f"{task}.{k}", ids, texts
 
 
-def _by_bucket(words, buckets: int) -> dict[int, list[bytes]]:
-    """Distinct words, dealt by hash; in order within a bucket, so that both sides number them alike."""
-    out: dict[int, list[bytes]] = {}
-    for w in words:
+def _by_bucket(words: dict[str, object], buckets: int) -> dict[int, tuple[list[bytes], list[int]]]:
+    """Distinct words, dealt by hash, and their numbers. Words stay in the order in which a block's texts
+    first have them, so that both sides list them alike."""
+    out: dict[int, tuple[list[bytes], list[int]]] = defaultdict(lambda: ([], []))
+    digest = xxhash.xxh64_intdigest
+    for i, w in enumerate(words):
         w = w.encode("utf-8", "replace")
-        out.setdefault(xxhash.xxh64_intdigest(w) % buckets, []).append(w)
-    for ws in out.values():
-        ws.sort()
+        own, numbers = out[digest(w) % buckets]
+        own.append(w)
+        numbers.append(i)
     return out
 
 
@@ -144,10 +146,10 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
 
         def rows():
             for name, _, texts in _blocks(it, block_chars):
-                seen: set[str] = set()
+                seen: dict[str, None] = {}
                 for t in texts:
-                    seen.update(split.findall(t))
-                for bucket, words in _by_bucket(seen, buckets).items():
+                    seen.update(zip(split.findall(t), repeat(None)))
+                for bucket, (words, _) in _by_bucket(seen, buckets).items():
                     yield bucket, name, 0, _pack(words)
 
         return _batches(rows())
@@ -200,10 +202,9 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
             number: dict[str, int] = defaultdict(count().__next__)
             places = [array("I", map(number.__getitem__, split.findall(t))) for t in texts]
             del texts
-            of_word: dict[bytes, int] = {w.encode("utf-8", "replace"): i for w, i in number.items()}
             sizes = np.zeros(len(number), np.int64)
             ids, listed, decoded = [b""] * len(number), [""] * len(number), [b""] * len(number)
-            for k, words in _by_bucket(number, buckets).items():
+            for k, (words, numbers) in _by_bucket(number, buckets).items():
                 sent = came.pop(k, b"")
                 if sent[:8] == _mark(words):
                     packed = _unpack(sent[8:])
@@ -212,13 +213,13 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
                 flat = np.frombuffer(b"".join(packed), "<u4").tolist()
                 names, tokens = list(map(str, flat)), list(map(to_bytes.__getitem__, flat))
                 at_token = 0
-                for w, e in zip(words, packed):
-                    i, end = of_word[w], at_token + len(e) // 4
+                for i, e in zip(numbers, packed):
+                    end = at_token + len(e) // 4
                     if with_ids:
                         ids[i] = e
                     sizes[i], listed[i], decoded[i] = end - at_token, ",".join(names[at_token:end]), b"".join(tokens[at_token:end])
                     at_token = end
-            del number, of_word
+            del number
             for lo in range(0, len(places), 512):
                 out: list[tuple] = []
                 for at_words in places[lo : lo + 512]:

@@ -1,71 +1,14 @@
-"""Helpers that the operators of this subpackage share: tables, cut lineages, connected components."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from sightline.operators.graph import components
+from sightline.plans.lineage import cut, let, shared_dir
+
+__all__ = ["components", "cut", "let", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset
-    (local tests), a temporary folder is made once for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sightline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """df, written once to the shared folder and read again: the lineage ends there, and a lost
-    executor costs no more than the tasks that read the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with the value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of the undirected edges; root is the smallest node reachable.
-
-    Alternating large and small stars: each round hooks the larger neighbours of a node, then the
-    smaller ones, to the smallest node around. The rounds grow with the logarithm of the diameter.
-    Each star is a grouped minimum (combined before the shuffle) and a join back, so a hub's edges
-    are never gathered; the join's large side can be split by AQE. Edges never outnumber the input.
-    Null ends and self-loops are ignored; an empty input gives an empty result.
-    """
-    e = cut(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v")))
-        .distinct()
-    )
-    before = None
-    for _ in range(most_rounds):
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        # the minimum itself stays tied to the node that it was found around
-        large = large.union(low.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v"), F.col("v")).distinct())
