@@ -49,7 +49,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+    return lines.dedup(table(spark, sf_dir, "documents"), whole=True).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
