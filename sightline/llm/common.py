@@ -2,13 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sightline.operators.graph import components
 from sightline.plans.lineage import cut, let, shared_dir
 
-__all__ = ["components", "cut", "let", "shared_dir", "table"]
+__all__ = ["compared", "components", "cut", "let", "linked_groups", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _near(n: str, m: str) -> Column:
+    """Sizes that leave room for a similarity of 0.8."""
+    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
+
+
+def compared(pairs: DataFrame, held: DataFrame, similar: Callable[[str, str], Column]) -> DataFrame:
+    """The pairs (a, b) whose bodies are similar(); held: (node, body)."""
+    sides = [held.select(F.col("node").alias(x), F.col("body").alias(f"{x}_body")) for x in "ab"]
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(similar("a_body", "b_body")).select("a", "b")
+
+
+def linked_groups(rows: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(node, root) for every node that is similar to another, at 0.8 or above. rows: (node, n, part), dealt by part; n is
+    the node's size, and similar nodes share a part. verifier(nodes) gives a function from pairs (a, b) of those nodes to
+    the pairs that are similar.
+
+    Nodes that share a part are first held against the least of them. Only nodes that are in different groups after that
+    are compared one by one, so that a large group of near copies costs its size.
+    """
+    heads = rows.groupBy("part").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    # parts with more than one node; a part's head is kept beside each of its nodes
+    shared = cut(rows.join(heads, "part"))
+    linked = verifier(shared.select("node").distinct())
+    stars = shared.filter((F.col("node") != F.col("head.node")) & _near("n", "head.n")).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
+    done = cut(linked(stars.distinct()))
+    groups = cut(components(done))
+    named = shared.join(groups, "node", "left").select("part", "node", "n", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("head.node")).alias("is_head"))
+    mixed = named.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("part")
+    named = cut(named.filter("not is_head").join(mixed, "part"))
+    x, y = named.alias("x"), named.alias("y")
+    apart = (F.col("x.part") == F.col("y.part")) & (F.col("x.root") < F.col("y.root")) & _near("x.n", "y.n")
+    more = linked(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
+    return components(done.union(cut(more)))

@@ -13,17 +13,17 @@ star for each linked group instead of all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.common import components, cut
+from sightline.llm.common import compared, components, cut, linked_groups
 
 #: Pairs of (query, word of 64 fingerprints) that are compared together; bounds the working memory.
 TILE = 1 << 15
@@ -237,14 +237,73 @@ def hex16(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 6, blocks: int = 8) -> DataFrame:
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending; words and hashes are those of fingerprint(), less the last
+    bit, so that they are positive."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    if not words:
+        return np.zeros(1, np.int64)
+    n = max(1, len(words) - shingle + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n) >> np.uint64(1)).view(np.int64)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One document of each linked group stays: the one with the smallest doc_id (a tie goes to the
-    smaller text hash, and of rows that agree in both, one stays). Columns are those of docs. The wider
-    radius lets texts through that share about nine tenths of their five-word shingles."""
-    slim = docs.select("doc_id", "text", F.xxhash64("text").alias("_th"))
-    prints = cut(with_fingerprint(slim, shingle, keep=("doc_id", "_th")).withColumn("id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_th")).select("id", "fp"))
-    groups = near_groups(prints, radius, blocks, "id")
-    stay = groups.filter(F.col("id") == F.col("component_id")).select(F.col("id.doc_id").alias("_id"), F.col("id._th").alias("_h")).distinct()
+    smaller text hash, and of rows that agree in both, one stays). Columns are those of docs.
+
+    Every two texts are linked whose sets of `shingle`-word shingles have a Jaccard similarity of 0.8 or more. Such sets
+    share one of the least n / 5 + 1 hashes of each, so no link is lost, and candidates are verified on the whole sets. What
+    two texts share of these hashes bounds what they can share at all, so most others are never fetched.
+    Texts of equal sets count as one.
+    """
+    slim = docs.select("doc_id", F.xxhash64("text").alias("_th"), "text")
+    node = lambda d: F.struct(F.col(f"{d}.doc_id").isNull().alias("none"), F.col(f"{d}.doc_id").alias("doc_id"), F.col(f"{d}._th").alias("_th"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
+            digests = [pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64()).view(pa.int64()) for seed in (1, 2)]
+            cols = [b.column("doc_id"), b.column("_th"), pa.array([len(s) for s in sets], pa.int64()), *digests, pa.array([s[: len(s) // 5 + 1] for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_th", "n", "s1", "s2", "parts"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = [b.column("doc_id"), b.column("_th"), pa.array([shingles(t, shingle) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_th", "body"])
+
+    found = cut(slim.mapInArrow(prints, f"doc_id {id_type}, _th long, n long, s1 long, s2 long, parts array<long>").alias("d").select(node("d").alias("id"), "n", "s1", "s2", "parts"))
+    classes = cut(found.groupBy("s1", "s2").agg(F.min("id").alias("node")))
+    rows = found.join(classes, ["s1", "s2"]).filter("id = node").select("node", "n", F.explode("parts").alias("part"))
+
+    def bodies(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = nodes.select(F.col("node.doc_id").alias("_id"), F.col("node._th").alias("_h"))
+        texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_th").eqNullSafe(F.col("_h"))).select("doc_id", "_th", "text").dropDuplicates(["doc_id", "_th"])
+        return texts.mapInArrow(whole, f"doc_id {id_type}, _th long, body array<long>").alias("d").select(node("d").alias("node"), "body")
+
+    # intersection / union >= 4 / 5, in whole numbers
+    reaches = lambda common, n, m: common * 9 >= (n + m) * 4
+    enough = lambda a, b: reaches(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+
+    def possible(a: str, b: str) -> Column:
+        """Up to the lesser of the last hashes both lists are whole; beyond it the smaller rest can be shared at most."""
+        top = F.least(F.element_at(f"{a}.parts", -1), F.element_at(f"{b}.parts", -1))
+        rest = [F.col(f"{x}.n") - F.size(F.filter(f"{x}.parts", lambda h: h <= top)) for x in (a, b)]
+        return reaches(F.size(F.array_intersect(f"{a}.parts", f"{b}.parts")) + F.least(*rest), F.col(f"{a}.n"), F.col(f"{b}.n"))
+
+    def verifier(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        heads = cut(found.join(nodes, F.col("id") == F.col("node")).select("node", F.struct("n", "parts").alias("body")).dropDuplicates(["node"]))
+
+        def linked(pairs: DataFrame) -> DataFrame:
+            left = cut(compared(pairs, heads, possible))
+            return compared(left, cut(bodies(left)), enough)
+
+        return linked
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gone = linked_groups(rows.repartition(n, "part"), verifier).filter("node <> root").select("node")
+    stay = classes.join(gone, "node", "left_anti").select(F.col("node.doc_id").alias("_id"), F.col("node._th").alias("_h"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
     kept = rows.join(stay, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_h")))
     first = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
