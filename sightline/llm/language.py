@@ -6,8 +6,8 @@ grouped aggregation over all rows: the text evidence is summed by host, a host's
 towards those of its domain, the domain's towards its suffix, and the suffix's towards the whole corpus.
 Likewise P(declared | language) and P(suffix | language) are counted over all rows, not assumed.
 
-The trigram models are fitted to at most `SAMPLE` labelled rows (those with the smallest hashed ids), of
-which at most `SAMPLE_CHARS` characters each are read; scoring reads every whole text.
+The trigram models are fitted to at most `SAMPLE` labelled rows, shared out evenly over the languages (of each those
+with the smallest hashed ids), of which at most `SAMPLE_CHARS` characters each are read; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sightline.llm.common import cut
 
@@ -53,12 +54,12 @@ class Model:
     #: log P(cell | language), one row for each cell.
     scores: np.ndarray
 
-    def evidence(self, text: str | None) -> list[float]:
-        """The log likelihood of the text for each language, tempered to WEIGHT trigrams; zeros if it has
+    def evidence(self, text: str | None) -> list[float] | None:
+        """The log likelihood of the text for each language, tempered to WEIGHT trigrams; None if it has
         too few letters."""
         c = cells(text or "")
         if len(c) < LEAST_LETTERS:
-            return [0.0] * len(self.languages)
+            return None
         total = np.zeros(len(self.languages))
         for i in range(0, len(c), 1 << 18):  # bounded memory for very long texts
             total += self.scores[c[i : i + (1 << 18)]].sum(0, dtype=np.float64)
@@ -80,27 +81,26 @@ def fit(rows: list[tuple[str, str]], alpha: float = 0.5) -> Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model:
-    """The model of at most SAMPLE labelled rows; repeated rows count once."""
+    """The model of at most SAMPLE labelled rows, an equal share of each language and one row at least; repeated
+    rows count once."""
     known = docs.filter(F.col(lang).isNotNull() & (F.trim(lang) != "") & F.col(text).isNotNull())
-    rank = F.xxhash64(id_col)
-    # ids first, so that no text is carried to the one task that merges the lists of the others
-    ids = known.select(F.col(id_col).alias("_id"), rank.alias("r")).orderBy("r", "_id").limit(SAMPLE).select("_id").distinct()
-    got = known.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id"))).groupBy("_id").agg(F.min(F.struct(F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("t"))).alias("s"))
-    return fit(sorted((r.s.lang, r.s.t) for r in got.collect()))
+    # a share is below 1,001 rows, so Spark takes it in each task before it sends rows to the language's one
+    share = max(1, SAMPLE // max(2, known.select(lang).distinct().count()))
+    # ids first, so that no text is carried to the tasks that merge the lists of the others
+    ids = known.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"), F.xxhash64(id_col).alias("r"))
+    ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("_lang").orderBy("r", "_id"))).filter(F.col("k") <= share).select("_id", "_lang").distinct()
+    got = known.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(lang) == F.col("_lang"))).groupBy("_id", "_lang").agg(F.min(F.substring(text, 1, SAMPLE_CHARS)).alias("t"))
+    return fit(sorted((r["_lang"], r.t) for r in got.collect()))
 
 
 def scored(rows: DataFrame, model: Model, text: str, keep: tuple[str, ...], html: bool = False) -> DataFrame:
     """keep's columns, and ev: the evidence of the whole text for each language, null if it has too few letters."""
     slim = rows.select(*keep, F.col(text).alias("_text"))
     schema = slim.drop("_text").schema.add("ev", T.ArrayType(T.DoubleType()))
-    zeros = [0.0] * len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = []
-            for t in b.column("_text").to_pylist():
-                ev = model.evidence(visible(t) if html else t)
-                found.append(None if ev == zeros else ev)
+            found = [model.evidence(visible(t) if html else t) for t in b.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))], names=[*keep, "ev"])
 
     return slim.mapInArrow(run, schema)
