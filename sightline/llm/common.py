@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from sightline.operators.graph import components
 from sightline.plans.lineage import cut, let, shared_dir
 
-__all__ = ["compared", "components", "cut", "let", "linked_groups", "shared_dir", "table"]
+__all__ = ["compared", "components", "cut", "let", "linked_groups", "shared_dir", "small_batches", "table"]
+
+#: Rows of an Arrow batch that carries texts.
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the memory of Python workers: a batch of texts has at most BATCH_ROWS rows, unless the session sets fewer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "0")) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def _near(n: str, m: str) -> Column:
     """Sizes that leave room for a similarity of 0.8."""
     return F.least(n, m) * 5 >= F.greatest(n, m) * 4

@@ -1,13 +1,14 @@
 """Language identification by Bayesian evidence fusion.
 
-For each row four kinds of evidence are added up in log space: the text under byte-trigram models, the
-declared markup language, the suffix of the address, and a prior of the host. Host priors come from
-grouped aggregation over all rows: the text evidence is summed by host, a host's shares are smoothed
-towards those of its domain, the domain's towards its suffix, and the suffix's towards the whole corpus.
-Likewise P(declared | language) and P(suffix | language) are counted over all rows, not assumed.
+For each row three kinds of evidence are added up in log space: the text under byte-trigram models, the declared markup
+language, and a prior of the host. Host priors come from grouped aggregation over all rows: the text evidence is summed
+by host, a host's shares are smoothed towards those of its domain, the domain's towards those of its address suffix, and
+the suffix's towards the whole corpus; this is where the suffix counts. P(declared | language) is counted over all rows
+likewise. A row's own text is taken out of each of these sums before it is judged (leave one out), so that no evidence
+counts twice.
 
 The trigram models are fitted to at most `SAMPLE` labelled rows, shared out evenly over the languages (of each those
-with the smallest hashed ids), of which at most `SAMPLE_CHARS` characters each are read; scoring reads every whole text.
+with the smallest hashed ids); fitting and scoring read whole texts.
 """
 
 from __future__ import annotations
@@ -20,20 +21,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from sightline.llm.common import cut
+from sightline.llm.common import cut, let, small_batches
 
-SAMPLE, SAMPLE_CHARS = 2000, 4000
+SAMPLE = 2000
 #: Trigrams share this many hashed cells.
 CELLS = 1 << 16
 #: Text evidence counts as at most so many independent trigrams, as neighbouring ones depend on each other.
 WEIGHT = 40.0
 #: Pseudo-counts by which a level of the hierarchy leans on the level above.
 SMOOTHING = 8.0
-#: Rows without this many letters, or with a best language below this probability, are not identified.
-LEAST_LETTERS, LEAST_PROBABILITY = 4, 0.5
+#: Rows with a best language below this probability are not identified.
+LEAST_PROBABILITY = 0.5
 
 _NOT_WORD = re.compile(r"[\W\d_]+")
 _TAGS = re.compile(r"<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.I | re.S)
@@ -55,10 +55,9 @@ class Model:
     scores: np.ndarray
 
     def evidence(self, text: str | None) -> list[float] | None:
-        """The log likelihood of the text for each language, tempered to WEIGHT trigrams; None if it has
-        too few letters."""
+        """The log likelihood of the text for each language, tempered to WEIGHT trigrams; None if it has no letters."""
         c = cells(text or "")
-        if len(c) < LEAST_LETTERS:
+        if not len(c):
             return None
         total = np.zeros(len(self.languages))
         for i in range(0, len(c), 1 << 18):  # bounded memory for very long texts
@@ -71,39 +70,57 @@ def visible(html: str | None) -> str:
     return _TAGS.sub(" ", html or "")
 
 
-def fit(rows: list[tuple[str, str]], alpha: float = 0.5) -> Model:
+def fit(rows: list[tuple[str, str]]) -> Model:
     """rows: (language, text). Without rows the model has the one language 'und'."""
-    names = tuple(sorted({lang for lang, _ in rows})) or ("und",)
-    counts = np.full((CELLS, len(names)), alpha)
+    counts: dict[str, np.ndarray] = {}
     for lang, text in rows:
-        np.add.at(counts[:, names.index(lang)], cells(text), 1.0)
-    return Model(names, np.log(counts / counts.sum(0)).astype(np.float32))
+        counts.setdefault(lang, np.zeros(CELLS, np.int64))
+        counts[lang] += np.bincount(cells(text), minlength=CELLS)
+    return _model(counts)
+
+
+def _model(counts: dict[str, np.ndarray], alpha: float = 0.5) -> Model:
+    names = tuple(sorted(counts)) or ("und",)
+    table = np.stack([counts[x] for x in names], 1) + alpha if counts else np.full((CELLS, 1), alpha)
+    return Model(names, np.log(table / table.sum(0)).astype(np.float32))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model:
     """The model of at most SAMPLE labelled rows, an equal share of each language and one row at least; repeated
-    rows count once."""
+    rows count once. Trigrams are counted where the texts are: the driver gets one number for each language and cell."""
     known = docs.filter(F.col(lang).isNotNull() & (F.trim(lang) != "") & F.col(text).isNotNull())
     # a share is below 1,001 rows, so Spark takes it in each task before it sends rows to the language's one
     share = max(1, SAMPLE // max(2, known.select(lang).distinct().count()))
     # ids first, so that no text is carried to the tasks that merge the lists of the others
     ids = known.select(F.col(id_col).alias("_id"), F.col(lang).alias("_lang"), F.xxhash64(id_col).alias("r"))
     ids = ids.withColumn("k", F.row_number().over(Window.partitionBy("_lang").orderBy("r", "_id"))).filter(F.col("k") <= share).select("_id", "_lang").distinct()
-    got = known.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(lang) == F.col("_lang"))).groupBy("_id", "_lang").agg(F.min(F.substring(text, 1, SAMPLE_CHARS)).alias("t"))
-    return fit(sorted((r["_lang"], r.t) for r in got.collect()))
+    got = known.join(F.broadcast(ids), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col(lang) == F.col("_lang"))).groupBy("_id", "_lang").agg(F.min(text).alias("_text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, t in zip(b.column("_lang").to_pylist(), b.column("_text").to_pylist()):
+                at, n = np.unique(cells(t), return_counts=True)
+                # a text without letters leaves a row of 0, so that its language is known
+                at, n = (at, n) if len(at) else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "cell", "n"])
 
+    counts: dict[str, np.ndarray] = {}
+    sums = got.select("_lang", "_text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    for name, cell, n in zip(*(c.to_pylist() for c in sums.toArrow().columns)):
+        counts.setdefault(name, np.zeros(CELLS, np.int64))[cell] += n
+    return _model(counts)
 
-def scored(rows: DataFrame, model: Model, text: str, keep: tuple[str, ...], html: bool = False) -> DataFrame:
-    """keep's columns, and ev: the evidence of the whole text for each language, null if it has too few letters."""
-    slim = rows.select(*keep, F.col(text).alias("_text"))
-    schema = slim.drop("_text").schema.add("ev", T.ArrayType(T.DoubleType()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [model.evidence(visible(t) if html else t) for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(found, pa.list_(pa.float64()))], names=[*keep, "ev"])
+def with_evidence(rows: DataFrame, model: Model, text: str, out: str = "ev", html: bool = False) -> DataFrame:
+    """rows and out: the evidence of the whole text for each language, null if it has no letters. Only the texts go to
+    Python, and only the evidence comes back."""
+    small_batches(rows.sparkSession)
+
+    @F.arrow_udf("array<double>")
+    def evidence(texts: pa.Array) -> pa.Array:
+        return pa.array([model.evidence(visible(t) if html else t) for t in texts.to_pylist()], pa.list_(pa.float64()))
 
-    return slim.mapInArrow(run, schema)
+    return rows.withColumn(out, evidence(F.col(text)))
 
 
 def _normal(ev: Column) -> Column:
@@ -113,65 +130,61 @@ def _normal(ev: Column) -> Column:
 
 
 def fuse(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
-    """rows with keep's columns, ev, declared, host, domain and suffix (any of them null) to keep's
-    columns, language, probability, text_language and accepted.
+    """rows with keep's columns, ev, declared, host, domain and suffix (any of them null) to keep's columns, language,
+    probability, text_language and accepted. rows must be cheap to read again, as cut() leaves them.
 
-    language is the most probable one (ties: first in alphabetical order), 'und' for rows whose text has
-    too few letters; those are not accepted, nor are those below LEAST_PROBABILITY. Rows without a host
+    language is the most probable one (ties: first in alphabetical order). A row without letters is decided by what is
+    declared and by its host; one that has neither of them is 'und' with probability 0. accepted: the probability is
+    LEAST_PROBABILITY at least. text_language is that of the text alone, 'und' without letters. Rows without a host
     get the corpus prior. All sums are combined before they are shuffled, and no group is gathered.
     """
     n = len(model.languages)
     known = list(model.languages)
-    base = cut(rows.withColumn("declared", F.lower(F.substring_index(F.trim("declared"), "-", 1))))
+    base = rows.withColumn("declared", F.lower(F.substring_index(F.trim("declared"), "-", 1)))
     p = base.filter("ev is not null").withColumn("p", _normal(F.col("ev")))
-    sums = [F.sum(F.round(F.get("p", F.lit(i)) * 1e6).cast("long")).alias(f"s{i}") for i in range(n)]  # whole numbers: any order gives the same sum
+    micro = lambda i: F.round(F.get("p", F.lit(i)) * 1e6).cast("long")  # noqa: E731  whole numbers: any order gives the same sum
+    sums = [F.sum(micro(i)).alias(f"s{i}") for i in range(n)]
     by_host = cut(p.groupBy("host", "domain", "suffix").agg(*sums))
     add = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
-    by_domain = by_host.groupBy("domain", "suffix").agg(*add)
-    by_suffix = by_host.groupBy("suffix").agg(*add)
     whole = by_host.agg(*add).first()  # n sums
-    counts = [(whole[f"s{i}"] or 0) / 1e6 for i in range(n)]
-    corpus = F.array(*[F.lit((c + SMOOTHING / n) / (sum(counts) + SMOOTHING)) for c in counts])
-    totals = F.array(*[F.lit(c) for c in counts])
-
-    def shares(level: DataFrame, above: str, out: str) -> DataFrame:
-        own = F.array(*[F.col(f"s{i}") / 1e6 for i in range(n)])
-        total = F.aggregate(own, F.lit(0.0), lambda a, b: a + b)
-        return level.withColumn(out, F.transform(F.arrays_zip(own.alias("o"), F.col(above).alias("a")), lambda x: (x["o"] + SMOOTHING * x["a"]) / (total + SMOOTHING)))
-
-    def log_share(names: str, room: float) -> Column:
-        """log P(value | language): the value's sums over the language's total, with one added to each."""
-        own = F.array(*[F.col(f"{names}{i}") / 1e6 for i in range(n)])
-        return F.transform(F.arrays_zip(own.alias("o"), totals.alias("t")), lambda x: F.ln((x["o"] + 1.0) / (x["t"] + room)))
-
-    suffix = shares(by_suffix.withColumn("w", corpus), "w", "sp").select(F.col("suffix").alias("x_suffix"), "sp", log_share("s", 10.0).alias("suffix_ll"))
-    domain = shares(by_domain.join(suffix, F.col("suffix").eqNullSafe(F.col("x_suffix"))), "sp", "dp")
-    domain = domain.select(F.col("domain").alias("y_domain"), F.col("suffix").alias("y_suffix"), "dp", "suffix_ll")
-    host = shares(by_host.join(domain, F.col("domain").eqNullSafe(F.col("y_domain")) & F.col("suffix").eqNullSafe(F.col("y_suffix"))), "dp", "hp")
-    host = host.select(F.col("host").alias("h_host"), F.col("domain").alias("h_domain"), F.col("suffix").alias("h_suffix"), "hp", "suffix_ll")
-
-    # P(declared | language), kept for the languages of the model only, so the table has at most n rows
-    tags = p.filter(F.col("declared").isin(known)).groupBy("declared").agg(*sums).select(F.col("declared").alias("d_tag"), log_share("s", n + 1.0).alias("declared_ll"))
-    evidence = (
-        base.join(host, F.col("host").eqNullSafe(F.col("h_host")) & F.col("domain").eqNullSafe(F.col("h_domain")) & F.col("suffix").eqNullSafe(F.col("h_suffix")), "left")
-        .join(F.broadcast(tags), F.col("declared") == F.col("d_tag"), "left")
-    )
+    every = lambda out: F.array(*[F.col(f"s{i}") for i in range(n)]).alias(out)
+    domains = by_host.groupBy("domain", "suffix").agg(*add).select(F.col("domain").alias("y_domain"), F.col("suffix").alias("y_suffix"), every("in_domain"))
+    suffixes = by_host.groupBy("suffix").agg(*add).select(F.col("suffix").alias("x_suffix"), every("in_suffix"))
+    levels = (
+        by_host.select("host", "domain", "suffix", every("in_host")).join(domains, F.col("domain").eqNullSafe(F.col("y_domain")) & F.col("suffix").eqNullSafe(F.col("y_suffix")))
+        .join(suffixes, F.col("suffix").eqNullSafe(F.col("x_suffix")))
+        .select(F.col("host").alias("h_host"), F.col("domain").alias("h_domain"), F.col("suffix").alias("h_suffix"), "in_host", "in_domain", "in_suffix")
+    )
+    # kept for the languages of the model only, so the table has at most n rows
+    tags = p.filter(F.col("declared").isin(known)).groupBy("declared").agg(*sums).select(F.col("declared").alias("d_tag"), every("in_tag"))
+    joined = base.join(levels, F.col("host").eqNullSafe(F.col("h_host")) & F.col("domain").eqNullSafe(F.col("h_domain")) & F.col("suffix").eqNullSafe(F.col("h_suffix")), "left").join(F.broadcast(tags), F.col("declared") == F.col("d_tag"), "left")
+
     nothing = F.array(*[F.lit(0.0)] * n)
-    prior = F.when(F.col("host").isNull(), corpus).otherwise(F.coalesce(F.col("hp"), corpus))
-    parts = F.arrays_zip(
-        F.coalesce("ev", nothing).alias("a"), F.coalesce("declared_ll", nothing).alias("b"), F.when(F.col("suffix").isNull(), nothing).otherwise(F.coalesce("suffix_ll", nothing)).alias("c"), prior.alias("d")
-    )
-    fused = evidence.withColumn("total", F.transform(parts, lambda x: x["a"] + x["b"] + x["c"] + F.ln(x["d"])))
-    ranked = fused.withColumn("post", _normal(F.col("total"))).withColumn("probability", F.round(F.array_max("post"), 6))
+    totals = F.array(*[F.lit(whole[f"s{i}"] or 0) for i in range(n)])
+    own = F.when(F.col("ev").isNull(), F.array(*[F.lit(0).cast("long")] * n)).otherwise(F.transform(_normal(F.col("ev")), lambda x: F.round(x * 1e6).cast("long")))
+    # what the others of a group say, in rows
+    rest = lambda group: F.transform(F.arrays_zip(F.coalesce(group, F.col("own")).alias("g"), F.col("own").alias("o")), lambda x: F.greatest(F.lit(0.0), (x["g"] - x["o"]) / 1e6))
+    size = lambda counts: F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
+
+    def shares(counts: Column, above: Column) -> Column:
+        return let(size(counts), lambda total: F.transform(F.arrays_zip(counts.alias("c"), above.alias("a")), lambda x: (x["c"] + SMOOTHING * x["a"]) / (total + SMOOTHING)))
+
+    steps = joined.withColumn("own", own).withColumn("corpus", shares(rest(totals), F.array(*[F.lit(1.0 / n)] * n)))
+    for name, above in (("suffix", "corpus"), ("domain", "by_suffix"), ("host", "by_domain")):
+        steps = steps.withColumn(f"by_{name}", shares(rest(F.col(f"in_{name}")), F.col(above)))
+    # log P(declared | language): the tag's sums over the language's total, with one added to each
+    tag = F.transform(F.arrays_zip(rest(F.col("in_tag")).alias("t"), rest(totals).alias("w")), lambda x: F.ln((x["t"] + 1.0) / (x["w"] + n + 1.0)))
+    parts = F.arrays_zip(F.coalesce("ev", nothing).alias("a"), F.when(F.col("d_tag").isNull(), nothing).otherwise(tag).alias("b"), F.when(F.col("host").isNull(), F.col("corpus")).otherwise(F.col("by_host")).alias("c"))
+    ranked = steps.withColumn("total", F.transform(parts, lambda x: x["a"] + x["b"] + F.ln(x["c"]))).withColumn("probability", F.round(F.array_max(_normal(F.col("total"))), 6))
     names = F.array(*[F.lit(x) for x in known])
     best = F.get(names, F.array_position("total", F.array_max("total")).cast("int") - 1)
     text_best = F.get(names, F.array_position("ev", F.array_max("ev")).cast("int") - 1)
-    blank = F.col("ev").isNull()
+    blank = F.col("ev").isNull() & F.col("d_tag").isNull() & (F.col("host").isNull() | (F.coalesce(size(rest(F.col("in_host"))), F.lit(0.0)) == 0))
     return ranked.select(
         *keep,
         F.when(blank, F.lit("und")).otherwise(best).alias("language"),
         F.when(blank, F.lit(0.0)).otherwise(F.col("probability")).alias("probability"),
-        F.when(blank, F.lit("und")).otherwise(text_best).alias("text_language"),
+        F.coalesce(text_best, F.lit("und")).alias("text_language"),
         (~blank & (F.col("probability") >= LEAST_PROBABILITY)).alias("accepted"),
     )
 
@@ -188,16 +201,17 @@ def pages(rows: DataFrame, model: Model) -> DataFrame:
         F.when(F.size(labels) > 1, F.element_at(labels, -1)).alias("suffix"),
         F.nullif(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", 1), F.lit("")).alias("declared"),
     )
-    keep = ("page_id", "host", "domain", "suffix", "declared")
-    return fuse(scored(named, model, "html", keep, html=True), model, ("page_id",))
+    return fuse(cut(with_evidence(named, model, "html", html=True).drop("html")), model, ("page_id",))
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs whose language is accepted, with the columns of docs. lang counts as declared, and
-    source as the host; documents have no address, so they have no suffix. Verdicts are joined by doc_id
-    and a hash of the text, so rows that share an id are judged apart. A null text is rejected."""
-    named = docs.select("doc_id", F.xxhash64("text").alias("_th"), "text", F.col("lang").alias("declared"), F.col("source").alias("host"), F.col("source").alias("domain"), F.lit(None).cast("string").alias("suffix"))
-    verdicts = fuse(scored(named, model, "text", ("doc_id", "_th", "declared", "host", "domain", "suffix")), model, ("doc_id", "_th"))
-    gone = verdicts.filter("not accepted").select(F.col("doc_id").alias("_id"), F.col("_th").alias("_h")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
-    return rows.join(gone, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_h")), "left_anti").select("_row.*")
+    """The rows of docs whose language is accepted, with the columns of docs. lang counts as declared, and source as the
+    host; documents have no address, so they have no suffix. A text without letters (null and empty ones too) has no
+    language and is rejected. Rows are judged one by one, so repeated rows and rows that share an id are too.
+
+    Texts are read and written once, with their evidence; host sums come back by a join that need not move the texts.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
+    named = with_evidence(row.withColumn("_text", F.col("_row.text")), model, "_text").drop("_text")
+    named = cut(named.select("_row", "ev", F.col("_row.lang").alias("declared"), F.col("_row.source").alias("host"), F.col("_row.source").alias("domain"), F.lit(None).cast("string").alias("suffix")), "zstd")
+    return fuse(named, model, ("_row", "ev")).filter("accepted and ev is not null").select("_row.*")

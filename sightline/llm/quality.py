@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import small_batches
+
 #: Documents of each label, and lines of each of them, that training may read.
 SAMPLE, SAMPLE_LINES = 600, 40
 #: Lines of a training sequence; longer samples are cut into several.
@@ -189,6 +191,7 @@ def judge(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",)) ->
 
     A null text counts as empty: no words, base_failed, not kept. Rows are judged one by one, so repeated
     rows get repeated verdicts and an empty table gives an empty one."""
+    small_batches(docs.sparkSession)
     slim = docs.select(*keep, F.col("text").alias("_text"))
     longs = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     schema = slim.drop("_text").schema
@@ -213,15 +216,13 @@ def judge(docs: DataFrame, field: Field, keep: tuple[str, ...] = ("doc_id",)) ->
 
 
 def keep_good(docs: DataFrame, field: Field) -> DataFrame:
-    """The rows of docs that are kept, with the columns of docs: one pass, no shuffle."""
-    names = docs.columns
+    """The rows of docs that are kept, with the columns of docs: one pass, no shuffle. Only the texts go to Python, and
+    only verdicts come back. A null text counts as empty and goes."""
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            stay = []
-            for t in b.column("text").to_pylist():
-                c = base_counts(t)
-                stay.append(not base_fails(c[0], c[4]) and round(field.content_share(t), 6) >= LEAST_SHARE)
-            yield b.filter(pa.array(stay, pa.bool_())).select(names)
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        counts = ((t, base_counts(t)) for t in texts.to_pylist())
+        return pa.array([not base_fails(c[0], c[4]) and round(field.content_share(t), 6) >= LEAST_SHARE for t, c in counts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(good(F.col("text")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.common import compared, components, cut, linked_groups
+from sightline.llm.common import compared, components, cut, linked_groups, small_batches
 
 #: Pairs of (query, word of 64 fingerprints) that are compared together; bounds the working memory.
 TILE = 1 << 15
@@ -49,6 +49,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
 
 def with_fingerprint(docs: DataFrame, shingle: int = 3, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, and fp: the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
     slim = docs.select(*keep, F.col(text).alias("_text"))
     schema = slim.drop("_text").withColumn("fp", F.lit(0).cast("long")).schema
 

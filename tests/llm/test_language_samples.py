@@ -27,4 +27,4 @@ def test_a_rare_language_is_learnt(spark):
 def test_a_tie_is_not_an_empty_text(spark):
     model = language.fit([("de", EN), ("en", EN)])
     rows = spark.createDataFrame([(1, EN), (2, "")], "id long, text string")
-    assert {r.id: r.ev for r in language.scored(rows, model, "text", ("id",)).collect()} == {1: [0.0, 0.0], 2: None}
+    assert {r.id: r.ev for r in language.with_evidence(rows, model, "text").collect()} == {1: [0.0, 0.0], 2: None}

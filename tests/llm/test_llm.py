@@ -244,7 +244,7 @@ def test_language_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language.train(docs.filter("doc_id % 2 = 0"))
     named = docs.filter("doc_id % 2 = 1").select("doc_id", "lang", "text", F.lit(None).cast("string").alias("declared"), *[F.lit(None).cast("string").alias(c) for c in ("host", "domain", "suffix")])
-    out = language.fuse(language.scored(named, model, "text", ("doc_id", "declared", "host", "domain", "suffix")), model, ("doc_id",)).join(docs, "doc_id")
+    out = language.fuse(cut(language.with_evidence(named, model, "text").drop("text")), model, ("doc_id",)).join(docs, "doc_id")
     assert out.filter("language = lang").count() >= 0.9 * out.count()
     kept = language.keep_identified(odd_docs(spark), model)
     assert kept.columns == odd_docs(spark).columns and kept.filter("text is null or trim(text) = ''").count() == 0
@@ -257,10 +257,44 @@ def test_language_held_out(spark):
 def test_host_priors_decide_weak_texts(spark):
     model = language.fit([("de", "und der die das nicht " * 20), ("en", "and the of that with " * 20)])
     rows = [(i, "and the of that with the", None, "h", "d", "s") for i in range(40)] + [(99, "zzzz", None, "h", "d", "s")]
-    got = language.fuse(language.scored(spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string"), model, "text", ("id", "declared", "host", "domain", "suffix")), model, ("id",))
+    got = language.fuse(cut(language.with_evidence(spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string"), model, "text")), model, ("id",))
     assert got.filter("id = 99").first().language == "en"
 
 
+def test_language_against_plain_python(spark):
+    """The fused probabilities, with each row's own text left out of its priors; rows without letters too."""
+    import math
+
+    model = language.fit([("de", "und der die das nicht " * 20), ("en", "and the of that with " * 20)])
+    r = random.Random(3)
+    hosts = [("a.x.de", "x.de", "de"), ("b.x.de", "x.de", "de"), ("c.y.uk", "y.uk", "uk"), (None, None, None)]
+    texts = ["und der", "the of that", "12", "", None, "nicht das und die der", "zz"]
+    rows = [(i, r.choice(texts), r.choice(["de", "EN-us", "fr", None]), *r.choice(hosts)) for i in range(60)] + [(60, None, None, None, None, None), (61, "12", "de", "solo.de", "solo.de", "de")]
+    ev = {x[0]: model.evidence(x[1]) for x in rows}
+    norm = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+    own = {i: [round(x * 1e6) / 1e6 for x in norm(v)] if v else [0.0, 0.0] for i, v in ev.items()}
+    tag = lambda x: (x[2] or "").lower().split("-")[0]
+    want = {}
+    for x in rows:
+        rest = lambda match: [sum(own[y[0]][k] for y in rows if y[0] != x[0] and ev[y[0]] and match(y)) for k in (0, 1)]  # noqa: B023, E731
+        share = lambda c, above: [(v + 8.0 * a) / (sum(c) + 8.0) for v, a in zip(c, above)]
+        at = share(rest(lambda y: True), [0.5, 0.5])
+        if x[3] is not None:
+            for level in (5, 4, 3):
+                at = share(rest(lambda y: y[level:] == x[level:]), at)  # noqa: B023
+        total = [math.log(v) + e for v, e in zip(at, ev[x[0]] or [0.0, 0.0])]
+        if tag(x) in ("de", "en") and any(tag(y) == tag(x) and ev[y[0]] for y in rows):
+            t, w = rest(lambda y: tag(y) == tag(x)), rest(lambda y: True)  # noqa: B023
+            total = [v + math.log((a + 1.0) / (b + 3.0)) for v, a, b in zip(total, t, w)]
+        want[x[0]] = norm(total)
+    got = {x.id: x for x in language.fuse(cut(language.with_evidence(spark.createDataFrame(rows, "id long, text string, declared string, host string, domain string, suffix string"), model, "text")), model, ("id",)).collect()}
+    assert (got[60].language, got[60].probability, got[60].accepted) == ("und", 0.0, False)
+    assert (got[61].language, got[61].accepted, got[61].text_language) == ("de", True, "und")  # declared decides without letters
+    for i in range(60):
+        if got[i].language != "und":
+            assert got[i].probability == pytest.approx(max(want[i]), abs=2e-6) and got[i].language == ("de", "en")[want[i].index(max(want[i]))]
+
+
 def test_urls(spark):
     odd = ["http://www.Example.com/en/a?b", "https://m.example.com/en/x", "http://a.com", "http://b.com/", "nohost", None, "http://x.org/porn", "http://x.org/pornography", "http://x.org/ads?ref=1&utm=2", "http://x.org/bads?ref=1&utm=2", "http://net/fr/#q", "http://é.org/sexé"]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(odd)), "page_id long, url string")).collect()}
