@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators.graph import components
-from sightline.plans.lineage import cut, let, shared_dir
+from sightline.plans.lineage import cut, let, release, shared_dir
 
-__all__ = ["compared", "components", "cut", "let", "linked_groups", "shared_dir", "small_batches", "table"]
+__all__ = ["compared", "components", "cut", "let", "linked_groups", "release", "shared_dir", "small_batches", "table"]
 
 #: Rows of an Arrow batch that carries texts.
 BATCH_ROWS = 512
+#: Nodes of one part that are compared one by one at most; beyond that the part is split.
+CROWD = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,36 +29,46 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-def _near(n: str, m: str) -> Column:
-    """Sizes that leave room for a similarity of 0.8."""
-    return F.least(n, m) * 5 >= F.greatest(n, m) * 4
-
-
 def compared(pairs: DataFrame, held: DataFrame, similar: Callable[[str, str], Column]) -> DataFrame:
     """The pairs (a, b) whose bodies are similar(); held: (node, body)."""
     sides = [held.select(F.col("node").alias(x), F.col("body").alias(f"{x}_body")) for x in "ab"]
     return pairs.join(sides[0], "a").join(sides[1], "b").filter(similar("a_body", "b_body")).select("a", "b")
 
 
-def linked_groups(rows: DataFrame, verifier: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """(node, root) for every node that is similar to another, at 0.8 or above. rows: (node, n, part), dealt by part; n is
-    the node's size, and similar nodes share a part. verifier(nodes) gives a function from pairs (a, b) of those nodes to
-    the pairs that are similar.
+def linked_groups(
+    rows: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prefixes_of: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """(node, root) for every node that is similar to another, at 0.8 or above. rows: (part, node), both whole numbers,
+    dealt by part; similar nodes share a part. facts_of(nodes) gives (node, body), small facts by which near(a, b) rules
+    out most pairs that are not similar; verify(pairs) leaves the pairs (a, b) that are. prefixes_of(nodes) gives
+    (node, ps): the parts of a node in the common order, and one more of its elements in that order behind them.
 
     Nodes that share a part are first held against the least of them. Only nodes that are in different groups after that
-    are compared one by one, so that a large group of near copies costs its size.
+    are compared one by one, so that a large group of near copies costs its size. A part with more than CROWD nodes that
+    are apart is dealt again by a second element of theirs: similar nodes share two elements of these longer prefixes.
     """
-    heads = rows.groupBy("part").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    # parts with more than one node; a part's head is kept beside each of its nodes
-    shared = cut(rows.join(heads, "part"))
-    linked = verifier(shared.select("node").distinct())
-    stars = shared.filter((F.col("node") != F.col("head.node")) & _near("n", "head.n")).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-    done = cut(linked(stars.distinct()))
+    heads = rows.groupBy("part").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
+    shared = cut(rows.join(heads.hint("shuffle_hash"), "part"))
+    facts = cut(facts_of(shared.select("node").distinct()))
+    release(rows.sparkSession)
+
+    def passed(pairs: DataFrame) -> DataFrame:
+        return verify(cut(compared(pairs, facts, near)))
+
+    done = cut(passed(shared.filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()))
     groups = cut(components(done))
-    named = shared.join(groups, "node", "left").select("part", "node", "n", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("head.node")).alias("is_head"))
-    mixed = named.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("part")
-    named = cut(named.filter("not is_head").join(mixed, "part"))
-    x, y = named.alias("x"), named.alias("y")
-    apart = (F.col("x.part") == F.col("y.part")) & (F.col("x.root") < F.col("y.root")) & _near("x.n", "y.n")
-    more = linked(x.join(y, apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct())
-    return components(done.union(cut(more)))
+    named = shared.join(groups, "node", "left").select("part", "node", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("head")).alias("is_head"))
+    mixed = named.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi and members > 2").select("part", "members")
+    # (part, node, root) of what may still be apart; heads are done
+    apart = cut(named.filter("not is_head").drop("is_head").join(mixed, "part"))
+    crowded = apart.filter(F.col("members") > CROWD)
+    dealt = apart.filter(F.col("members") <= CROWD).select("part", "node", "root")
+    if not crowded.isEmpty():
+        longer = crowded.join(prefixes_of(crowded.select("node").distinct()), "node")
+        second = F.explode(F.slice("ps", F.array_position("ps", F.col("part")).cast("int") + 1, F.size("ps")))
+        again = longer.select("part", "node", "root", second.alias("other")).select(F.xxhash64("part", "other").alias("part"), "node", "root")
+        dealt = dealt.union(again)
+    dealt = dealt.join(facts, "node")
+    sides = [dealt.select("part", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "body")]) for x in "ab"]
+    pairs = sides[0].join(sides[1], "part").filter((F.col("a_root") < F.col("b_root")) & near("a_body", "b_body")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    return components(done.union(cut(verify(cut(pairs)))))

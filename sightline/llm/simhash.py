@@ -13,7 +13,7 @@ star for each linked group instead of all pairs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sightline.llm.common import compared, components, cut, linked_groups, small_batches
 
@@ -249,63 +248,62 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One document of each linked group stays: the one with the smallest doc_id (a tie goes to the
-    smaller text hash, and of rows that agree in both, one stays). Columns are those of docs.
+    """One document of each linked group stays: the one with the smallest doc_id (nulls last; a tie goes to the
+    smaller text hash, then to the earlier row). Columns are those of docs; no rows give no rows.
 
-    Every two texts are linked whose sets of `shingle`-word shingles have a Jaccard similarity of 0.8 or more. Such sets
-    share one of the least n / 5 + 1 hashes of each, so no link is lost, and candidates are verified on the whole sets. What
-    two texts share of these hashes bounds what they can share at all, so most others are never fetched.
-    Texts of equal sets count as one.
+    Every two texts are linked whose sets of `shingle`-word shingles have a Jaccard similarity of 0.8 or more; null and
+    blank texts are alike. Such sets share one of the least n / 5 + 1 hashes of each, so no link is lost, and candidates
+    are verified on the whole sets. What two texts share of these hashes bounds what they can share at all, so most
+    others are never fetched. Texts of equal sets count as one.
     """
-    slim = docs.select("doc_id", F.xxhash64("text").alias("_th"), "text")
-    node = lambda d: F.struct(F.col(f"{d}.doc_id").isNull().alias("none"), F.col(f"{d}.doc_id").alias("doc_id"), F.col(f"{d}._th").alias("_th"))
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(t, shingle) for t in b.column("text").to_pylist()]
-            digests = [pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64()).view(pa.int64()) for seed in (1, 2)]
-            cols = [b.column("doc_id"), b.column("_th"), pa.array([len(s) for s in sets], pa.int64()), *digests, pa.array([s[: len(s) // 5 + 1] for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_th", "n", "s1", "s2", "parts"])
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column("doc_id"), b.column("_th"), pa.array([shingles(t, shingle) for t in b.column("text").to_pylist()], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_th", "body"])
-
-    found = cut(slim.mapInArrow(prints, f"doc_id {id_type}, _th long, n long, s1 long, s2 long, parts array<long>").alias("d").select(node("d").alias("id"), "n", "s1", "s2", "parts"))
-    classes = cut(found.groupBy("s1", "s2").agg(F.min("id").alias("node")))
-    rows = found.join(classes, ["s1", "s2"]).filter("id = node").select("node", "n", F.explode("parts").alias("part"))
-
-    def bodies(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = nodes.select(F.col("node.doc_id").alias("_id"), F.col("node._th").alias("_h"))
-        texts = slim.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_th").eqNullSafe(F.col("_h"))).select("doc_id", "_th", "text").dropDuplicates(["doc_id", "_th"])
-        return texts.mapInArrow(whole, f"doc_id {id_type}, _th long, body array<long>").alias("d").select(node("d").alias("node"), "body")
+    spark = docs.sparkSession
+    small_batches(spark)
+    filed = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "zstd")
+    slim = filed.select("rid", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("th"), F.col("row.text").alias("text"))
+
+    @F.arrow_udf("n long, s1 long, s2 long, ps array<long>")
+    def prints(texts: pa.Array) -> pa.Array:
+        sets = [shingles(t, shingle) for t in texts.to_pylist()]
+        digests = [pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64()).view(pa.int64()) for seed in (1, 2)]
+        # one hash more than the prefix of n // 5 + 1
+        cols = [pa.array([len(s) for s in sets], pa.int64()), *digests, pa.array([s[: len(s) // 5 + 2] for s in sets], pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(cols, ["n", "s1", "s2", "ps"])
+
+    @F.arrow_udf("array<long>")
+    def whole(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t, shingle) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    found = cut(slim.withColumn("p", prints(F.col("text"))).select("rid", "id", "th", "p.*"))
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "rid")
+    classes = cut(found.groupBy("s1", "s2").agg(F.min(first).alias("first")).select("first.*"))
+    own = found.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "n", "ps")
+    k = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = own.select("node", F.explode_outer(F.slice("ps", 1, (F.col("n") / 5).cast("int") + 1)).alias("part")).select("part", "node").repartition(k, "part")
 
     # intersection / union >= 4 / 5, in whole numbers
     reaches = lambda common, n, m: common * 9 >= (n + m) * 4
     enough = lambda a, b: reaches(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
+    sized = lambda a, b: F.least(f"{a}.n", f"{b}.n") * 5 >= F.greatest(f"{a}.n", f"{b}.n") * 4
 
     def possible(a: str, b: str) -> Column:
         """Up to the lesser of the last hashes both lists are whole; beyond it the smaller rest can be shared at most."""
-        top = F.least(F.element_at(f"{a}.parts", -1), F.element_at(f"{b}.parts", -1))
-        rest = [F.col(f"{x}.n") - F.size(F.filter(f"{x}.parts", lambda h: h <= top)) for x in (a, b)]
-        return reaches(F.size(F.array_intersect(f"{a}.parts", f"{b}.parts")) + F.least(*rest), F.col(f"{a}.n"), F.col(f"{b}.n"))
-
-    def verifier(nodes: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        heads = cut(found.join(nodes, F.col("id") == F.col("node")).select("node", F.struct("n", "parts").alias("body")).dropDuplicates(["node"]))
-
-        def linked(pairs: DataFrame) -> DataFrame:
-            left = cut(compared(pairs, heads, possible))
-            return compared(left, cut(bodies(left)), enough)
-
-        return linked
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gone = linked_groups(rows.repartition(n, "part"), verifier).filter("node <> root").select("node")
-    stay = classes.join(gone, "node", "left_anti").select(F.col("node.doc_id").alias("_id"), F.col("node._th").alias("_h"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_t"))
-    kept = rows.join(stay, F.col("_d").eqNullSafe(F.col("_id")) & F.col("_t").eqNullSafe(F.col("_h")))
-    first = Window.partitionBy("_id", "_h").orderBy(F.lit(0))
-    return kept.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("_row.*")
+        top = F.least(F.element_at(f"{a}.ps", -1), F.element_at(f"{b}.ps", -1))
+        rest = [F.col(f"{x}.n") - F.size(F.filter(f"{x}.ps", lambda h: h <= top)) for x in (a, b)]
+        return reaches(F.size(F.array_intersect(f"{a}.ps", f"{b}.ps")) + F.least(*rest), F.col(f"{a}.n"), F.col(f"{b}.n"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        lists = own.select("node", F.struct("n", "ps").alias("body"))
+        left = cut(compared(pairs, lists, possible))
+        nodes = left.select(F.col("a").alias("rid")).union(left.select("b")).distinct()
+        bodies = cut(slim.join(nodes, "rid", "left_semi").select(F.col("rid").alias("node"), whole(F.col("text")).alias("body")))
+        return compared(left, bodies, enough)
+
+    facts_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", F.struct("n").alias("body"))
+    prefixes_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", "ps")
+    groups = cut(linked_groups(rows, facts_of, sized, verify, prefixes_of))
+    # of a group the first by id stays, which need not be its root
+    placed = groups.join(classes, F.col("node") == F.col("rid")).select("root", "node", F.struct("none", "id", "th", "rid").alias("first"))
+    least = placed.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.rid").alias("node"))
+    lost = placed.select("node").join(least, "node", "left_anti")
+    stay = classes.select("rid").join(lost, F.col("rid") == F.col("node"), "left_anti")
+    return filed.join(stay.hint("shuffle_hash"), "rid", "left_semi").select("row.*")

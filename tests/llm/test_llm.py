@@ -185,8 +185,6 @@ def test_bit_sliced_kernel():
 def brute_lines(rows, known=()):
     """rows (doc_id, text) with distinct ids: the lines that stay, by the docstring's rules. The pairs in known are
     alike; they are too long to compare here."""
-    import xxhash
-
     norm = lambda x: re.sub(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", x.lower()).strip(" ")
     first = {}
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
@@ -194,10 +192,6 @@ def brute_lines(rows, known=()):
             if norm(x):
                 first.setdefault(norm(x), ((i is None, i), k))
 
-    def sim(n):
-        hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in n.split(" ")]
-        return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hs) > len(hs))
-
     def lev(a, b):
         if frozenset((" ".join(a), " ".join(b))) in known:
             return 1
@@ -212,11 +206,9 @@ def brute_lines(rows, known=()):
         return prev[-1]
 
     ns = sorted(first, key=first.get)
-    sims = {n: sim(n) for n in ns}
     alike = lambda a, b: lev(a.split(" "), b.split(" ")) <= int(max(len(a.split(" ")), len(b.split(" "))) * 0.2 + 1e-9)
-    linked = lambda a, b: (sims[a] ^ sims[b]).bit_count() <= 3 and alike(a, b)
-    roots = groups_of(ns, linked)
-    kept = {first[n] for n, r, i in zip(ns, roots, range(len(ns))) if r == i} | {v for n, v in first.items() if n not in sims}
+    roots = groups_of(ns, alike)
+    kept = {first[n] for n, r, i in zip(ns, roots, range(len(ns))) if r == i}
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not norm(x) or ((i is None, i), k) in kept) for i, t in rows}
 
 
@@ -227,7 +219,7 @@ def test_lines_against_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, kept string, n_lines int").repartition(3)
     got = lines.dedup(docs)
     assert {x.doc_id: x.text for x in got.collect()} == brute_lines(list(enumerate(texts)))
-    # one bag of words in many orders has one SimHash: links that don't go through the first line count too
+    # lines of one bag of words: links that don't go through the first line count too
     some = prose(r, 10).split(" ")
     shuffled = [" ".join(r.sample(some, 10)) for _ in range(4)]
     swapped = [" ".join([*x.split(" ")[1::-1], *x.split(" ")[2:]]) for x in shuffled]
