@@ -108,6 +108,8 @@ def test_chat_round_trip_and_rewriting(spark):
     class Forgetful(chat.BracketTemplate):
         """Drops what assistants said before the last turn."""
 
+        lookback = None
+
         def render(self, turns):
             return "<s>" + "".join(self.turn(r, t if r != "assistant" or i == len(turns) - 1 else "") for i, (r, t) in enumerate(turns))
 
@@ -115,17 +117,47 @@ def test_chat_round_trip_and_rewriting(spark):
     bad = {r.conv_id: r.rewrites for r in chat.format_all(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Forgetful()).collect()}
     assert bad == {1: True, 2: False}
 
+    class Trimming(chat.BracketTemplate):
+        """Leaves out the first turn once there are more than twenty."""
+
+        lookback = None
+
+        def render(self, turns):
+            return super().render(turns[1:] if len(turns) > 20 else turns)
+
+    rows = [(c, t, "user", f"turn {t}") for c, n in ((1, 30), (2, 20)) for t in range(n)]
+    trimmed = {r.conv_id: r for r in chat.format_all(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Trimming()).collect()}
+    assert {c: r.rewrites for c, r in trimmed.items()} == {1: True, 2: False} and trimmed[1].turns_sha256 is None
+    assert trimmed[1].formatted_chars == len(Trimming().render([r[2:] for r in rows if r[0] == 1]))
+    assert trimmed[2].turns_sha256 == chat.format_all(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).filter("conv_id = 2").first().turns_sha256
+    # real outputs: the spans put together are the rendered conversation, and what the mask covers is the text
+    out = chat.spans(spark.createDataFrame(rows[30:], "conv_id long, turn long, role string, text string")).orderBy("n").collect()
+    assert "".join(r.span for r in out) == chat.BracketTemplate().render([r[2:] for r in rows if r[0] == 2])
+    assert [r.span[r.text_start : r.text_end] for r in out] == [r[3] for r in rows[30:]]
+    assert chat.format_all(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    with pytest.raises(Exception, match="look-back"):
+        Trimming.lookback = 25
+        chat.format_all(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), Trimming()).collect()
+
 
 def test_packing_is_optimal_and_whole(spark):
     r = random.Random(4)
-    tops = np.array(sorted(r.sample(range(1, 60), 9)), float)
-    counts = np.array([r.randrange(1, 9) for _ in tops], float)
+    tops = sorted(r.sample(range(1, 20_000), 9))
+    counts = [r.randrange(1, 9) for _ in tops]
     cost = lambda bounds: sum(c * min(b for b in bounds if b >= t) for t, c in zip(tops, counts))
     from itertools import combinations
 
     for k in (1, 2, 3, 4):
         best = min(cost([*c, tops[-1]]) for n in range(k) for c in combinations(tops[:-1], n))
         assert cost(packing.boundaries(tops, counts, k)) == best
+    for _ in range(40):  # long lengths with ties, against the plain recursion
+        tops = sorted(r.sample(range(1, r.choice([30, 3000])), 25))
+        counts = [r.choice([1, 1, 2, 500]) for _ in tops]
+        c = np.concatenate([[0], np.cumsum(counts)])
+        best = [t * m for t, m in zip(tops, c[1:])]
+        for k in range(1, 8):
+            assert cost(packing.boundaries(tops, counts, k)) == best[-1] and len(packing.boundaries(tops, counts, k)) <= k
+            best = [min([best[j], *(best[i] + tops[j] * (c[j + 1] - c[i + 1]) for i in range(j))]) for j in range(len(tops))]
     got = packing.pack(odd_docs(spark), buckets=3, budget=400).collect()
     assert len(got) == odd_docs(spark).count() and packing.pack(odd_docs(spark, True)).count() == 0
     fill = {}
