@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators.graph import components
-from sightline.plans.lineage import cut, let, release, shared_dir
+from sightline.plans.lineage import cut, delete, discard, let, release, shared_dir
 
-__all__ = ["compared", "components", "cut", "let", "linked_groups", "release", "shared_dir", "small_batches", "table"]
+__all__ = ["compared", "components", "cut", "delete", "discard", "let", "linked_groups", "release", "shared_dir", "small_batches", "table"]
 
 #: Rows of an Arrow batch that carries texts.
 BATCH_ROWS = 512
@@ -48,9 +48,11 @@ def linked_groups(
     are apart is dealt again by a second element of theirs: similar nodes share two elements of these longer prefixes.
     """
     heads = rows.groupBy("part").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
+    spark = rows.sparkSession
     shared = cut(rows.join(heads.hint("shuffle_hash"), "part"))
+    release(spark)
     facts = cut(facts_of(shared.select("node").distinct()))
-    release(rows.sparkSession)
+    release(spark)
 
     def passed(pairs: DataFrame) -> DataFrame:
         return verify(cut(compared(pairs, facts, near)))
@@ -61,6 +63,8 @@ def linked_groups(
     mixed = named.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).filter("lo <> hi and members > 2").select("part", "members")
     # (part, node, root) of what may still be apart; heads are done
     apart = cut(named.filter("not is_head").drop("is_head").join(mixed, "part"))
+    discard(shared, groups)
+    release(spark)
     crowded = apart.filter(F.col("members") > CROWD)
     dealt = apart.filter(F.col("members") <= CROWD).select("part", "node", "root")
     if not crowded.isEmpty():
@@ -71,4 +75,7 @@ def linked_groups(
     dealt = dealt.join(facts, "node")
     sides = [dealt.select("part", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "body")]) for x in "ab"]
     pairs = sides[0].join(sides[1], "part").filter((F.col("a_root") < F.col("b_root")) & near("a_body", "b_body")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
-    return components(done.union(cut(verify(cut(pairs)))))
+    pairs = cut(pairs)
+    discard(apart, facts)
+    release(spark)
+    return components(done.union(cut(verify(pairs))))

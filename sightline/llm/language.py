@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.llm.common import cut, let, small_batches
+from sightline.llm.common import cut, small_batches
 
 SAMPLE = 2000
 #: Trigrams share this many hashed cells.
@@ -159,32 +159,35 @@ def fuse(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     tags = p.filter(F.col("declared").isin(known)).groupBy("declared").agg(*sums).select(F.col("declared").alias("d_tag"), every("in_tag"))
     joined = base.join(levels, F.col("host").eqNullSafe(F.col("h_host")) & F.col("domain").eqNullSafe(F.col("h_domain")) & F.col("suffix").eqNullSafe(F.col("h_suffix")), "left").join(F.broadcast(tags), F.col("declared") == F.col("d_tag"), "left")
 
-    nothing = F.array(*[F.lit(0.0)] * n)
-    totals = F.array(*[F.lit(whole[f"s{i}"] or 0) for i in range(n)])
-    own = F.when(F.col("ev").isNull(), F.array(*[F.lit(0).cast("long")] * n)).otherwise(F.transform(_normal(F.col("ev")), lambda x: F.round(x * 1e6).cast("long")))
+    # from here on a column for each language, so that all of it is compiled
+    each = range(n)
+    got = lambda array, i: F.coalesce(F.get(array, F.lit(i)), F.lit(0))
+    ev = lambda i: F.coalesce(F.get("ev", F.lit(i)), F.lit(0.0))
+    total = lambda cols: sum(cols[1:], cols[0])
+    top = lambda cols: F.greatest(*cols) if n > 1 else cols[0]
+    steps = joined.withColumns({f"_e{i}": F.exp(ev(i) - top([ev(k) for k in each])) for i in each})
+    lettered = F.col("ev").isNotNull()
+    steps = steps.withColumn("_z", total([F.col(f"_e{i}") for i in each])).withColumns({f"_o{i}": F.when(lettered, F.round(F.col(f"_e{i}") / F.col("_z") * 1e6).cast("long")).otherwise(F.lit(0).cast("long")) for i in each})
     # what the others of a group say, in rows
-    rest = lambda group: F.transform(F.arrays_zip(F.coalesce(group, F.col("own")).alias("g"), F.col("own").alias("o")), lambda x: F.greatest(F.lit(0.0), (x["g"] - x["o"]) / 1e6))
-    size = lambda counts: F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-
-    def shares(counts: Column, above: Column) -> Column:
-        return let(size(counts), lambda total: F.transform(F.arrays_zip(counts.alias("c"), above.alias("a")), lambda x: (x["c"] + SMOOTHING * x["a"]) / (total + SMOOTHING)))
-
-    steps = joined.withColumn("own", own).withColumn("corpus", shares(rest(totals), F.array(*[F.lit(1.0 / n)] * n)))
-    for name, above in (("suffix", "corpus"), ("domain", "by_suffix"), ("host", "by_domain")):
-        steps = steps.withColumn(f"by_{name}", shares(rest(F.col(f"in_{name}")), F.col(above)))
+    groups = {"all": lambda i: F.lit(whole[f"s{i}"] or 0), "suffix": lambda i: got("in_suffix", i), "domain": lambda i: got("in_domain", i), "host": lambda i: got("in_host", i), "tag": lambda i: got("in_tag", i)}
+    steps = steps.withColumns({f"_{g}{i}": F.greatest(F.lit(0.0), (of(i) - F.col(f"_o{i}")) / 1e6) for g, of in groups.items() for i in each})
+    above = [F.lit(1.0 / n)] * n
+    for g in ("all", "suffix", "domain", "host"):
+        size = total([F.col(f"_{g}{i}") for i in each]) + SMOOTHING
+        steps = steps.withColumn(f"_n{g}", size).withColumns({f"_p{g}{i}": (F.col(f"_{g}{i}") + SMOOTHING * above[i]) / F.col(f"_n{g}") for i in each})
+        above = [F.col(f"_p{g}{i}") for i in each]
     # log P(declared | language): the tag's sums over the language's total, with one added to each
-    tag = F.transform(F.arrays_zip(rest(F.col("in_tag")).alias("t"), rest(totals).alias("w")), lambda x: F.ln((x["t"] + 1.0) / (x["w"] + n + 1.0)))
-    parts = F.arrays_zip(F.coalesce("ev", nothing).alias("a"), F.when(F.col("d_tag").isNull(), nothing).otherwise(tag).alias("b"), F.when(F.col("host").isNull(), F.col("corpus")).otherwise(F.col("by_host")).alias("c"))
-    ranked = steps.withColumn("total", F.transform(parts, lambda x: x["a"] + x["b"] + F.ln(x["c"]))).withColumn("probability", F.round(F.array_max(_normal(F.col("total"))), 6))
-    names = F.array(*[F.lit(x) for x in known])
-    best = F.get(names, F.array_position("total", F.array_max("total")).cast("int") - 1)
-    text_best = F.get(names, F.array_position("ev", F.array_max("ev")).cast("int") - 1)
-    blank = F.col("ev").isNull() & F.col("d_tag").isNull() & (F.col("host").isNull() | (F.coalesce(size(rest(F.col("in_host"))), F.lit(0.0)) == 0))
-    return ranked.select(
+    tag = lambda i: F.when(F.col("d_tag").isNull(), 0.0).otherwise(F.ln((F.col(f"_tag{i}") + 1.0) / (F.col(f"_all{i}") + n + 1.0)))
+    steps = steps.withColumns({f"_t{i}": ev(i) + tag(i) + F.ln(F.when(F.col("host").isNull(), F.col(f"_pall{i}")).otherwise(F.col(f"_phost{i}"))) for i in each})
+    steps = steps.withColumn("_top", top([F.col(f"_t{i}") for i in each])).withColumn("probability", F.round(1.0 / total([F.exp(F.col(f"_t{i}") - F.col("_top")) for i in each]), 6))
+    first = lambda is_it: F.coalesce(*[F.when(is_it(i), F.lit(x)) for i, x in enumerate(known)])
+    blank = ~lettered & F.col("d_tag").isNull() & (F.col("host").isNull() | (F.col("_nhost") <= SMOOTHING))
+    best_text = top([ev(i) for i in each])
+    return steps.select(
         *keep,
-        F.when(blank, F.lit("und")).otherwise(best).alias("language"),
+        F.when(blank, F.lit("und")).otherwise(first(lambda i: F.col(f"_t{i}") == F.col("_top"))).alias("language"),
         F.when(blank, F.lit(0.0)).otherwise(F.col("probability")).alias("probability"),
-        F.coalesce(text_best, F.lit("und")).alias("text_language"),
+        F.when(lettered, first(lambda i: ev(i) == best_text)).otherwise(F.lit("und")).alias("text_language"),
         (~blank & (F.col("probability") >= LEAST_PROBABILITY)).alias("accepted"),
     )
 

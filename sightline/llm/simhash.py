@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import compared, components, cut, linked_groups, small_batches
+from sightline.llm.common import compared, components, cut, linked_groups, release, small_batches
 
 #: Pairs of (query, word of 64 fingerprints) that are compared together; bounds the working memory.
 TILE = 1 << 15
@@ -300,6 +300,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     facts_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", F.struct("n").alias("body"))
     prefixes_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", "ps")
+    release(spark)
     groups = cut(linked_groups(rows, facts_of, sized, verify, prefixes_of))
     # of a group the first by id stays, which need not be its root
     placed = groups.join(classes, F.col("node") == F.col("rid")).select("root", "node", F.struct("none", "id", "th", "rid").alias("first"))
