@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.plans.lineage import cut
+from sightline.plans.lineage import cut, discard
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         large = large.union(low.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small.union(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        old, e = e, cut(small.union(down.select("u", F.col("m").alias("v"))).filter("u <> v").distinct())
+        discard(old)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

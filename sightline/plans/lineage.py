@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,38 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    for made in _scopes:
+        made.append(path)
+    return out
+
+
+#: The paths that cut() writes while a scope is open, for each open scope.
+_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scope(made: list[str]) -> Iterator[None]:
+    """Files that cut() writes meanwhile are added to made."""
+    _scopes.append(made)
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders, in whatever store they are."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of frames that cut() gave, once nothing reads them any more."""
+    for df in frames:
+        delete(df.sparkSession, [df._cut_path])
 
 
 def release(spark: SparkSession) -> None:
