@@ -140,6 +140,7 @@ def fuse(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     """
     n = len(model.languages)
     known = list(model.languages)
+    small_batches(rows.sparkSession)
     base = rows.withColumn("declared", F.lower(F.substring_index(F.trim("declared"), "-", 1)))
     p = base.filter("ev is not null").withColumn("p", _normal(F.col("ev")))
     micro = lambda i: F.round(F.get("p", F.lit(i)) * 1e6).cast("long")  # noqa: E731  whole numbers: any order gives the same sum
@@ -159,37 +160,50 @@ def fuse(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataFrame:
     tags = p.filter(F.col("declared").isin(known)).groupBy("declared").agg(*sums).select(F.col("declared").alias("d_tag"), every("in_tag"))
     joined = base.join(levels, F.col("host").eqNullSafe(F.col("h_host")) & F.col("domain").eqNullSafe(F.col("h_domain")) & F.col("suffix").eqNullSafe(F.col("h_suffix")), "left").join(F.broadcast(tags), F.col("declared") == F.col("d_tag"), "left")
 
-    # from here on a column for each language, so that all of it is compiled
-    each = range(n)
-    got = lambda array, i: F.coalesce(F.get(array, F.lit(i)), F.lit(0))
-    ev = lambda i: F.coalesce(F.get("ev", F.lit(i)), F.lit(0.0))
-    total = lambda cols: sum(cols[1:], cols[0])
-    top = lambda cols: F.greatest(*cols) if n > 1 else cols[0]
-    steps = joined.withColumns({f"_e{i}": F.exp(ev(i) - top([ev(k) for k in each])) for i in each})
-    lettered = F.col("ev").isNotNull()
-    steps = steps.withColumn("_z", total([F.col(f"_e{i}") for i in each])).withColumns({f"_o{i}": F.when(lettered, F.round(F.col(f"_e{i}") / F.col("_z") * 1e6).cast("long")).otherwise(F.lit(0).cast("long")) for i in each})
-    # what the others of a group say, in rows
-    groups = {"all": lambda i: F.lit(whole[f"s{i}"] or 0), "suffix": lambda i: got("in_suffix", i), "domain": lambda i: got("in_domain", i), "host": lambda i: got("in_host", i), "tag": lambda i: got("in_tag", i)}
-    steps = steps.withColumns({f"_{g}{i}": F.greatest(F.lit(0.0), (of(i) - F.col(f"_o{i}")) / 1e6) for g, of in groups.items() for i in each})
-    above = [F.lit(1.0 / n)] * n
-    for g in ("all", "suffix", "domain", "host"):
-        size = total([F.col(f"_{g}{i}") for i in each]) + SMOOTHING
-        steps = steps.withColumn(f"_n{g}", size).withColumns({f"_p{g}{i}": (F.col(f"_{g}{i}") + SMOOTHING * above[i]) / F.col(f"_n{g}") for i in each})
-        above = [F.col(f"_p{g}{i}") for i in each]
+    whole = np.array([whole[f"s{i}"] or 0 for i in range(n)], np.float64)
+
+    @F.arrow_udf("language string, probability double, text_language string, accepted boolean")
+    def decide(ev: pa.Array, host: pa.Array, in_host: pa.Array, in_domain: pa.Array, in_suffix: pa.Array, in_tag: pa.Array) -> pa.Array:
+        cols = _decided(_matrix(ev, n), _filled(ev), _filled(host), [np.broadcast_to(whole, (len(ev), n)), *(_matrix(x, n) for x in (in_suffix, in_domain, in_host))], _matrix(in_tag, n), _filled(in_tag), known)
+        return pa.StructArray.from_arrays(cols, ["language", "probability", "text_language", "accepted"])
+
+    found = joined.withColumn("_d", decide("ev", "host", "in_host", "in_domain", "in_suffix", "in_tag"))
+    return found.select(*keep, "_d.language", "_d.probability", "_d.text_language", "_d.accepted")
+
+
+def _filled(col: pa.Array) -> np.ndarray:
+    return col.is_valid().to_numpy(zero_copy_only=False)
+
+
+def _matrix(col: pa.Array, n: int) -> np.ndarray:
+    """Lists of n numbers as rows; a null list is a row of zeros."""
+    out = np.zeros((len(col), n))
+    out[_filled(col)] = col.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+    return out
+
+
+def _decided(ev: np.ndarray, lettered: np.ndarray, hosted: np.ndarray, levels: list[np.ndarray], tag: np.ndarray, tagged: np.ndarray, known: list[str]) -> list[pa.Array]:
+    """language, probability, text_language and accepted of rows. levels: the sums, in millionths, of the whole corpus and of
+    each row's suffix, domain and host; tag: those of what it declares."""
+    e = np.exp(ev - ev.max(1, keepdims=True))
+    own = np.where(lettered[:, None], np.floor(e / e.sum(1, keepdims=True) * 1e6 + 0.5), 0.0)
+    rest = [np.maximum(0.0, x - own) / 1e6 for x in levels]  # what the others say, in rows
+    above, priors = np.full_like(ev, 1.0 / len(known)), []
+    for c in rest:
+        above = (c + SMOOTHING * above) / (c.sum(1, keepdims=True) + SMOOTHING)
+        priors.append(above)
+    prior = np.where(hosted[:, None], priors[-1], priors[0])
     # log P(declared | language): the tag's sums over the language's total, with one added to each
-    tag = lambda i: F.when(F.col("d_tag").isNull(), 0.0).otherwise(F.ln((F.col(f"_tag{i}") + 1.0) / (F.col(f"_all{i}") + n + 1.0)))
-    steps = steps.withColumns({f"_t{i}": ev(i) + tag(i) + F.ln(F.when(F.col("host").isNull(), F.col(f"_pall{i}")).otherwise(F.col(f"_phost{i}"))) for i in each})
-    steps = steps.withColumn("_top", top([F.col(f"_t{i}") for i in each])).withColumn("probability", F.round(1.0 / total([F.exp(F.col(f"_t{i}") - F.col("_top")) for i in each]), 6))
-    first = lambda is_it: F.coalesce(*[F.when(is_it(i), F.lit(x)) for i, x in enumerate(known)])
-    blank = ~lettered & F.col("d_tag").isNull() & (F.col("host").isNull() | (F.col("_nhost") <= SMOOTHING))
-    best_text = top([ev(i) for i in each])
-    return steps.select(
-        *keep,
-        F.when(blank, F.lit("und")).otherwise(first(lambda i: F.col(f"_t{i}") == F.col("_top"))).alias("language"),
-        F.when(blank, F.lit(0.0)).otherwise(F.col("probability")).alias("probability"),
-        F.when(lettered, first(lambda i: ev(i) == best_text)).otherwise(F.lit("und")).alias("text_language"),
-        (~blank & (F.col("probability") >= LEAST_PROBABILITY)).alias("accepted"),
-    )
+    declared = np.log((np.maximum(0.0, tag - own) / 1e6 + 1.0) / (rest[0] + len(known) + 1.0))
+    total = ev + np.log(prior) + np.where(tagged[:, None], declared, 0.0)
+    best = np.exp(total - total.max(1, keepdims=True))
+    blank = ~lettered & ~tagged & ~(hosted & (rest[-1].sum(1) > 0))
+    probability = np.where(blank, 0.0, np.round(1.0 / best.sum(1), 6))
+    names = np.array([*known, "und"], object)
+    return [
+        pa.array(names[np.where(blank, -1, total.argmax(1))], pa.string()), pa.array(probability), pa.array(names[np.where(lettered, ev.argmax(1), -1)], pa.string()),
+        pa.array(~blank & (probability >= LEAST_PROBABILITY)),
+    ]
 
 
 def pages(rows: DataFrame, model: Model) -> DataFrame:
