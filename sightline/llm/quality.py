@@ -2,7 +2,7 @@
 
 The field labels each line as content or boilerplate; Viterbi decoding gives the best labelling and the
 share of words in content lines decides whether a text stays. It is trained here, on a bounded sample of
-labelled documents (at most `SAMPLE` of either label, at most `SAMPLE_LINES` lines of each): all lines of
+labelled documents (at most `SAMPLE` of either label, with all their lines): all lines of
 a document labelled good count as content, all lines of one labelled bad as boilerplate. Counts and
 decoding cover every line of every text.
 """
@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 
 from sightline.llm.common import small_batches
 
-#: Documents of each label, and lines of each of them, that training may read.
-SAMPLE, SAMPLE_LINES = 600, 40
-#: Lines of a training sequence; longer samples are cut into several.
+#: Documents of each label that training may read.
+SAMPLE = 600
+#: Lines of a training sequence; longer texts are cut into several.
 CHAIN = 20
 #: A text stays if at least this share of its words is in content lines.
 LEAST_SHARE = 0.5
@@ -61,7 +61,7 @@ def base_fails(n_words: int, n_repeat_words: int) -> bool:
     return n_words < 50 or 100 * n_repeat_words > 50 * n_words
 
 
-def line_features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def line_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """A row of features and the number of words for each line that has a word, in order."""
     rows, sizes, seen = [], [], set()
     for line in (text or "").split("\n"):
@@ -69,8 +69,6 @@ def line_features(text: str | None, most: int | None = None) -> tuple[np.ndarray
         n = len(words)
         if not n:
             continue
-        if most is not None and len(rows) >= most:
-            break
         chars = sum(map(len, words))
         counts = Counter(words)
         symbols = sum(map(line.count, SYMBOLS))
@@ -174,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Field:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [line_features(t, SAMPLE_LINES)[0] for t in b.column("text").to_pylist()]
+            rows = [line_features(t)[0] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("quality"), pa.array([r.astype("<f4").tobytes() for r in rows], pa.binary())], names=["doc_id", "quality", "x"]
             )

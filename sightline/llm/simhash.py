@@ -26,6 +26,8 @@ from sightline.llm.common import compared, components, cut, linked_groups, relea
 
 #: Pairs of (query, word of 64 fingerprints) that are compared together; bounds the working memory.
 TILE = 1 << 15
+#: Parity bits of a set of shingle hashes, by which most pairs that are not similar are ruled out.
+PARITIES = 1024
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -261,13 +263,17 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     filed = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "zstd")
     slim = filed.select("rid", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("th"), F.col("row.text").alias("text"))
 
-    @F.arrow_udf("n long, s1 long, s2 long, ps array<long>")
+    parity = [f"b{i}" for i in range(PARITIES // 64)]
+
+    @F.arrow_udf(f"n long, s1 long, s2 long, ps array<long>, {', '.join(f'{b} long' for b in parity)}")
     def prints(texts: pa.Array) -> pa.Array:
         sets = [shingles(t, shingle) for t in texts.to_pylist()]
         digests = [pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64()).view(pa.int64()) for seed in (1, 2)]
         # one hash more than the prefix of n // 5 + 1
         cols = [pa.array([len(s) for s in sets], pa.int64()), *digests, pa.array([s[: len(s) // 5 + 2] for s in sets], pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(cols, ["n", "s1", "s2", "ps"])
+        odd = np.stack([np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1 for s in sets]) if sets else np.zeros((0, PARITIES), np.int64)
+        words = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+        return pa.StructArray.from_arrays([*cols, *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["n", "s1", "s2", "ps", *parity])
 
     @F.arrow_udf("array<long>")
     def whole(texts: pa.Array) -> pa.Array:
@@ -276,14 +282,20 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     found = cut(slim.withColumn("p", prints(F.col("text"))).select("rid", "id", "th", "p.*"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "rid")
     classes = cut(found.groupBy("s1", "s2").agg(F.min(first).alias("first")).select("first.*"))
-    own = found.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "n", "ps")
+    own = found.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "n", "ps", *parity)
     k = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = own.select("node", F.explode_outer(F.slice("ps", 1, (F.col("n") / 5).cast("int") + 1)).alias("part")).select("part", "node").repartition(k, "part")
 
     # intersection / union >= 4 / 5, in whole numbers
     reaches = lambda common, n, m: common * 9 >= (n + m) * 4
     enough = lambda a, b: reaches(F.size(F.array_intersect(a, b)), F.size(a), F.size(b))
-    sized = lambda a, b: F.least(f"{a}.n", f"{b}.n") * 5 >= F.greatest(f"{a}.n", f"{b}.n") * 4
+
+    def near(a: str, b: str) -> Column:
+        """Sets that can be similar: of n + m hashes at most (n + m) / 9 are in one of them alone, and each of those can
+        change one parity bit."""
+        apart = [F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in parity]
+        sized = F.least(f"{a}.n", f"{b}.n") * 5 >= F.greatest(f"{a}.n", f"{b}.n") * 4
+        return sized & (sum(apart[1:], apart[0]) * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n"))
 
     def possible(a: str, b: str) -> Column:
         """Up to the lesser of the last hashes both lists are whole; beyond it the smaller rest can be shared at most."""
@@ -298,10 +310,10 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
         bodies = cut(slim.join(nodes, "rid", "left_semi").select(F.col("rid").alias("node"), whole(F.col("text")).alias("body")))
         return compared(left, bodies, enough)
 
-    facts_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", F.struct("n").alias("body"))
+    facts_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", F.struct("n", *parity).alias("body"))
     prefixes_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", "ps")
     release(spark)
-    groups = cut(linked_groups(rows, facts_of, sized, verify, prefixes_of))
+    groups = cut(linked_groups(rows, facts_of, near, verify, prefixes_of))
     # of a group the first by id stays, which need not be its root
     placed = groups.join(classes, F.col("node") == F.col("rid")).select("root", "node", F.struct("none", "id", "th", "rid").alias("first"))
     least = placed.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.rid").alias("node"))
