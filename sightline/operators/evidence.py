@@ -48,12 +48,14 @@ def fragments(selected: DataFrame, obs: DataFrame) -> DataFrame:
     full = obs.join(chosen, "cluster_id").filter("plate = candidate").select("cluster_id", "frame").distinct()
     rest = obs.join(chosen, "cluster_id").join(full, ["cluster_id", "frame"], "left_anti")
     found = rest.withColumn("fragment", longest_common_substring("candidate", "text")).filter((F.length("fragment") >= min_fragment("candidate")) & mixed_alphanumeric("fragment"))
-    best = Window.partitionBy("cluster_id", "frame").orderBy(F.length("fragment").desc(), "ord")
-    return found.withColumn("_n", F.row_number().over(best)).filter("_n = 1").select("cluster_id", "candidate", "frame", "fragment", F.length("fragment").alias("fragment_length"), "ord")
+    top = F.max_by("fragment", F.struct(F.length("fragment").alias("n"), (-F.col("ord")).alias("o")))
+    # a frame's place is that of its first fragment, whichever of its fragments wins
+    return found.groupBy("cluster_id", "candidate", "frame").agg(top.alias("fragment"), F.max(F.length("fragment")).alias("fragment_length"), F.min("ord").alias("ord"))
 
 
 def best_fragments(found: DataFrame) -> DataFrame:
-    """The longest fragment of each cluster (first frame of equally long ones) and its number of frames."""
+    """The longest fragment of each cluster and its number of frames. Of equally long ones that of the frame wins
+    which gave the first fragment of any length."""
     top = F.max_by("fragment", F.struct("fragment_length", (-F.col("ord")).alias("o")))
     return found.groupBy("cluster_id").agg(top.alias("best_fragment"), F.count("*").alias("fragment_support"))
 

@@ -22,12 +22,12 @@ def rows_by_bucket(regions: DataFrame, key: str, size: float = 30.0) -> DataFram
 
 def cluster_rows(regions: Column, tolerance: Column | None = None) -> Column:
     """An array of (y, x, h, text) regions to rows: in order of y, a region joins the first row whose mean y
-    is within max(10, 0.6 median height), else opens one. Rows keep their order; regions in a row go by x.
+    is within max(10, 0.6 median height) (the upper of two middle heights), else opens one. Rows keep their order; regions in a row go by x.
     A fold over one image's regions."""
     by_y = F.array_sort(regions)
     heights = F.array_sort(F.transform(by_y, lambda r: r["h"]))
     n = F.size(heights)
-    middle = (F.get(heights, F.floor((n - 1) / 2).cast("int")) + F.get(heights, F.floor(n / 2).cast("int"))) / 2.0
+    middle = F.get(heights, F.floor(n / 2).cast("int"))
     tol = F.greatest(F.lit(10.0), 0.6 * middle) if tolerance is None else tolerance
     item = "struct<x:double,text:string>"
     empty = F.array().cast(f"array<struct<sum:double,n:int,items:array<{item}>>>")

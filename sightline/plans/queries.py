@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sightline.functions import geometry as geo
 from sightline.functions import metrics as met
@@ -13,6 +14,7 @@ from sightline.functions import plates
 from sightline.functions import text as tx
 from sightline.operators import annotations, evaluate, evidence, graph, layout, leakage, selection
 from sightline.plans import views
+from sightline.plans.lineage import cut
 from sightline.plans.views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,10 +29,11 @@ def query(f: Query) -> Query:
 
 
 def _obs(spark, d):
-    """Observations with their parsed plate, in clusters."""
+    """Observations with their parsed plate, in clusters: parsed once, as what follows reads them several times."""
     obs = view(spark, d, views.OBSERVATIONS).withColumn("text", tx.clean_text("raw_text")).withColumn("parsed", plates.parse_plate("raw_text"))
     obs = obs.select("*", F.col("parsed.plate").alias("plate"), F.col("parsed.cost").alias("correction")).drop("parsed")
-    return evidence.with_clusters(obs, view(spark, d, views.MAPPING))
+    used = obs.select("track_id", "frame", "ord", "text", "plate", "correction", "confidence", "quality")
+    return cut(evidence.with_clusters(used, view(spark, d, views.MAPPING)))
 
 
 def _options(spark, d):
@@ -191,14 +194,15 @@ def status_histogram(spark, d):
 
 @query
 def fused_tracks(spark, d):
-    rows = view(spark, d, views.OBSERVATIONS).withColumn("p", plates.parse_fused("raw_text")).select("*", "p.plate", "p.cost")
+    rows = view(spark, d, views.OBSERVATIONS).withColumn("p", plates.parse_fused("raw_text"))
+    rows = cut(rows.select("track_id", "frame", "ord", "confidence", "quality", "detection", "p.plate", "p.cost"))  # parsed once
     return evidence.fused(rows.withColumn("score", plates.fusion_weight("confidence", "quality", "detection", "cost")))
 
 
 @query
 def weighted_consensus(spark, d):
     rows = view(spark, d, views.OBSERVATIONS).withColumn("c", plates.correct_plate("raw_text"))
-    rows = rows.select("track_id", "ord", F.coalesce("c.plate", tx.clean_text("raw_text")).alias("text"), F.col("c").isNotNull().alias("valid"), plates.plausible_state("raw_text").alias("plausible"), plates.vote_weight("confidence", "quality", "detection").alias("weight"), (F.col("confidence") + F.col("quality")).alias("fallback"))
+    rows = cut(rows.select("track_id", "ord", F.coalesce("c.plate", tx.clean_text("raw_text")).alias("text"), F.col("c").isNotNull().alias("valid"), plates.plausible_state("raw_text").alias("plausible"), plates.vote_weight("confidence", "quality", "detection").alias("weight"), (F.col("confidence") + F.col("quality")).alias("fallback")))
     return evidence.weighted_vote(rows)
 
 
@@ -272,8 +276,7 @@ def mixed_dataset(spark, d):
 @query
 def domain_shares(spark, d):
     rows = mixed_dataset(spark, d).groupBy("domain").agg(F.count("*").alias("n"))
-    total = mixed_dataset(spark, d).agg(F.count("*").alias("total"))
-    return rows.crossJoin(F.broadcast(total)).select("domain", "n", F.round(F.col("n") / F.col("total"), 9).alias("share"))
+    return rows.select("domain", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))), 9).alias("share"))  # a row for each domain
 
 
 @query

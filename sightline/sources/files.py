@@ -8,10 +8,16 @@ from pyspark.sql import types as T
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
-    """Rows under an explicit schema; blank strings are '', and required columns that are missing are ''."""
-    df = spark.read.option("header", True).schema(schema).csv(path)
-    df = df.na.fill("", [f.name for f in df.schema if isinstance(f.dataType, T.StringType)])
-    return df.withColumns({c: F.lit("") for c in required if c not in df.columns})
+    """The columns of the schema, taken by the header's names in any order; a value that isn't of its column's type is
+    null, and blank strings are ''. A column that the file lacks is an error, but for those in required: they are ''."""
+    schema = spark.createDataFrame([], schema).schema
+    df = spark.read.option("header", True).csv(path)
+    lacks = [f.name for f in schema if f.name not in df.columns and f.name not in required]
+    if lacks:
+        raise ValueError(f"{path} has no column {', '.join(lacks)}")
+    named = [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit("").alias(f.name) for f in schema]
+    named += [F.lit("").alias(c) for c in required if c not in schema.names and c not in df.columns]
+    return df.select(*named).na.fill("", [f.name for f in schema if isinstance(f.dataType, T.StringType)])
 
 
 def read_csv_trimmed(spark: SparkSession, path: str) -> DataFrame:
@@ -56,20 +62,29 @@ def read_coco(spark: SparkSession, path: str, category: str = "number-plate") ->
 
 def read_labels(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Label lines `class xc yc w h` of text files: path, class, box. Strict: a line without five tokens is
-    an error. Lenient: such lines, and classes other than 0, are skipped. Blank lines are no labels."""
+    an error. Lenient: such lines, lines with a token that is no number, and classes other than 0, are skipped. Blank lines are no labels."""
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.trim("value").alias("line")).filter("line <> ''")
     parts = F.split("line", r"\s+")
     if strict:
         lines = lines.withColumn("line", F.when(F.size(parts) == 5, F.col("line")).otherwise(F.raise_error(F.concat(F.lit("not a label: "), F.col("line"))).cast("string")))
     else:
         lines = lines.filter((F.size(parts) == 5) & (F.get(parts, F.lit(0)) == "0"))
-    num = lambda i: F.get(parts, F.lit(i)).cast("double")
+    num = lambda i: F.get(parts, F.lit(i)).cast("double") if strict else F.get(parts, F.lit(i)).try_cast("double")
+    if not strict:
+        lines = lines.filter(num(1).isNotNull() & num(2).isNotNull() & num(3).isNotNull() & num(4).isNotNull())
     return lines.select("path", F.get(parts, F.lit(0)).cast("int").alias("class"), F.struct(num(1).alias("xc"), num(2).alias("yc"), num(3).alias("w"), num(4).alias("h")).alias("box"))
 
 
 def count_labels(spark: SparkSession, path: str) -> DataFrame:
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("p"))
-    return lines.filter(F.size("p") == 5).groupBy("path").agg(F.count("*").alias("n"))
+    """path and n, the number of its lines of five tokens, for every file; a file without any counts 0."""
+    found = spark.read.format("binaryFile").load(path)
+    # a scan leaves out files of no bytes, so those come from the listing
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string")
+    files = found.select(F.col("_metadata.file_path").alias("path"), F.decode("content", "UTF-8").alias("text"))
+    lines = files.select("path", F.size(F.filter(F.split("text", "\r?\n", -1), lambda x: F.size(F.split(F.trim(x), r"\s+", -1)) == 5)).cast("long").alias("n"))
+    key = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+:)/+", "$1/")  # noqa: E731  file:/ and file:/// are one
+    lines = lines.select(key("path").alias("_key"), "n")
+    return listed.join(lines, key("path") == F.col("_key"), "left").select("path", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
