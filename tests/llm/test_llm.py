@@ -80,6 +80,19 @@ def test_sketches_peel(spark):
     for x in got:
         assert {(f.k, f.c) for f in x.found} == {(k, 1) for k in set(x.a) - set(x.b)} | {(k, -1) for k in set(x.b) - set(x.a)}
     assert got[2].direct is not None and got[5].direct is None  # small differences peel at once, large ones need a retry
+    assert got[2].found_tries == 1 and 2 <= got[5].found_tries < 8
+
+
+def test_large_differences_peel(spark):
+    r = random.Random(3)
+    new = lambda n: [r.getrandbits(63) - 2**62 for _ in range(n)]
+    both = new(500)
+    rows = [(new(2000) + both, new(2000) + both), (new(3000), []), (both, both)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>").withColumns({f"{c}_sketch": fingerprints.sketch(F.col(c)) for c in "ab"})
+    got = fingerprints.compared(df, {"found": ("a", "b")}).collect()
+    for x in got:
+        assert sorted((f.k, f.c) for f in x.found) == sorted([(k, 1) for k in set(x.a) - set(x.b)] + [(k, -1) for k in set(x.b) - set(x.a)])
+    assert [x.found_tries > 1 for x in got] == [True, True, False] and max(x.found_tries for x in got) < 10
 
 
 def test_bpe_against_the_library(spark):
