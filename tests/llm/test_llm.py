@@ -346,6 +346,18 @@ def test_urls(spark):
         assert auto.find(t) == {x for x in terms if re.search(f"(?<![a-z0-9]){re.escape(x)}(?![a-z0-9])", t)}
 
 
+def test_url_vocabulary(spark):
+    rows = [("Foo", False, 1), ("foo", True, None), ("", True, 1), (None, False, 1), ("bar", False, 2), ("bar", False, 5), ("qux", False, None)]
+    terms = urls.vocabulary(spark.createDataFrame(rows, "term string, strict boolean, weight int"))
+    assert terms == (("bar", False, 5), ("foo", True, 1), ("qux", False, 1))
+    odd = ["http://x.org/bar/bar", "http://x.org/bar/qux", "http://x.org/FOO", "http://x.org/food"]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(odd)), "page_id long, url string"), terms).collect()}
+    assert [(got[i].verdict, got[i].soft_hits, got[i].soft_weight) for i in range(4)] == [("allow", 1, 5), ("block", 2, 6), ("block", 0, 0), ("allow", 0, 0)]
+    many = tuple((f"w{i}x{i * 7 % 1009}", False, 1) for i in range(100_000))  # a vocabulary of its real size
+    one = urls.judge(spark.createDataFrame([(1, "http://x.org/w5x35-w6x42/w99999x" + str(99999 * 7 % 1009))], "page_id long, url string"), many).first()
+    assert (one.verdict, one.soft_hits) == ("block", 3)
+
+
 def test_quality(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     field = quality.train(docs.filter("doc_id % 2 = 0"), labels)
