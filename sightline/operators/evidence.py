@@ -41,23 +41,24 @@ def ranked(options: DataFrame, places: int = 9) -> DataFrame:
 
 def fragments(selected: DataFrame, obs: DataFrame) -> DataFrame:
     """The best fragment of each independent frame: selected (cluster_id, plate), obs (cluster_id, frame,
-    text, plate, ord). A frame is independent if no reading of it gave the selected plate. A fragment is the
+    track_id, text, plate, ord). A frame is independent if no reading of it gave the selected plate. A fragment is the
     longest run shared with the plate, long enough and of letters and digits; of equally long ones the first
     observation's."""
     chosen = selected.select("cluster_id", F.col("plate").alias("candidate"))
     full = obs.join(chosen, "cluster_id").filter("plate = candidate").select("cluster_id", "frame").distinct()
     rest = obs.join(chosen, "cluster_id").join(full, ["cluster_id", "frame"], "left_anti")
     found = rest.withColumn("fragment", longest_common_substring("candidate", "text")).filter((F.length("fragment") >= min_fragment("candidate")) & mixed_alphanumeric("fragment"))
-    top = F.max_by("fragment", F.struct(F.length("fragment").alias("n"), (-F.col("ord")).alias("o")))
+    top = F.max_by(F.struct("fragment", "track_id"), F.struct(F.length("fragment").alias("n"), (-F.col("ord")).alias("o")))
     # a frame's place is that of its first fragment, whichever of its fragments wins
-    return found.groupBy("cluster_id", "candidate", "frame").agg(top.alias("fragment"), F.max(F.length("fragment")).alias("fragment_length"), F.min("ord").alias("ord"))
+    best = found.groupBy("cluster_id", "candidate", "frame").agg(top.alias("top"), F.min("ord").alias("ord"))
+    return best.select("cluster_id", "candidate", "frame", "top.fragment", "top.track_id", F.length("top.fragment").alias("fragment_length"), "ord")
 
 
 def best_fragments(found: DataFrame) -> DataFrame:
-    """The longest fragment of each cluster and its number of frames. Of equally long ones that of the frame wins
+    """The longest fragment of each cluster, its length, and the numbers of frames and tracks that gave fragments. Of equally long ones that of the frame wins
     which gave the first fragment of any length."""
     top = F.max_by("fragment", F.struct("fragment_length", (-F.col("ord")).alias("o")))
-    return found.groupBy("cluster_id").agg(top.alias("best_fragment"), F.count("*").alias("fragment_support"))
+    return found.groupBy("cluster_id").agg(top.alias("best_fragment"), F.max("fragment_length").alias("best_fragment_length"), F.count("*").alias("fragment_support"), F.countDistinct("track_id").alias("fragment_tracks"))
 
 
 def status(frames: Column, fragment_frames: Column | None = None) -> Column:
@@ -70,12 +71,16 @@ def status(frames: Column, fragment_frames: Column | None = None) -> Column:
 
 
 def consensus(clusters: DataFrame, options: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each cluster: its selected plate, supports and evidence status."""
-    chosen = options.filter("selected").select("cluster_id", "plate", "frame_support", "track_support")
-    rows = clusters.select("cluster_id").distinct().join(chosen, "cluster_id", "left").join(best_fragments(found), "cluster_id", "left")
+    """One row for each cluster of clusters (cluster_id, track_id): its tracks, selected plate, supports, means
+    (null without a candidate) and evidence status."""
+    chosen = options.filter("selected").select("cluster_id", "plate", "frame_support", "track_support", "mean_confidence", "mean_correction", "mean_quality")
+    members = clusters.groupBy("cluster_id").agg(F.array_join(F.sort_array(F.collect_set("track_id")), "|").alias("member_tracks"))
+    rows = members.join(chosen, "cluster_id", "left").join(best_fragments(found), "cluster_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return rows.select(
-        "cluster_id", F.coalesce("plate", F.lit("")).alias("final_plate"), F.coalesce("frame_support", F.lit(0)).alias("frame_support"), F.coalesce("track_support", F.lit(0)).alias("track_support"),
-        F.coalesce("fragment_support", F.lit(0)).alias("fragment_support"), F.coalesce("best_fragment", F.lit("")).alias("best_fragment"), status(F.col("frame_support"), F.coalesce("fragment_support", F.lit(0))).alias("evidence_status"),
+        "cluster_id", "member_tracks", F.coalesce("plate", F.lit("")).alias("final_plate"), *map(count, ("frame_support", "track_support", "fragment_support", "fragment_tracks")),
+        F.coalesce("best_fragment", F.lit("")).alias("best_fragment"), count("best_fragment_length"), F.round("mean_confidence", 6).alias("mean_confidence"), F.round("mean_correction", 4).alias("mean_correction"),
+        F.round("mean_quality", 4).alias("mean_quality"), status(F.col("frame_support"), F.coalesce("fragment_support", F.lit(0))).alias("evidence_status"),
     )
 
 

@@ -50,13 +50,14 @@ _FRAG = f"""{_CLUSTERED},
     ful AS (SELECT DISTINCT o.cluster_id, o.frame FROM o JOIN sel ON o.cluster_id = sel.cluster_id AND o.plate = sel.candidate),
     rest AS (SELECT o.*, sel.candidate FROM o JOIN sel USING (cluster_id) WHERE NOT EXISTS (SELECT 1 FROM ful WHERE ful.cluster_id = o.cluster_id AND ful.frame = o.frame)),
     l AS (SELECT *, coalesce({_LCS.format(a='candidate', b='text')}.s, '') AS fragment FROM rest),
-    f AS (SELECT * FROM (SELECT cluster_id, candidate, frame, fragment, length(fragment) AS fragment_length, min(ord) OVER (PARTITION BY cluster_id, frame) AS inserted, row_number() OVER (PARTITION BY cluster_id, frame ORDER BY length(fragment) DESC, ord) AS rn
+    f AS (SELECT * FROM (SELECT cluster_id, candidate, frame, fragment, track_id, length(fragment) AS fragment_length, min(ord) OVER (PARTITION BY cluster_id, frame) AS inserted, row_number() OVER (PARTITION BY cluster_id, frame ORDER BY length(fragment) DESC, ord) AS rn
           FROM l WHERE length(fragment) >= greatest(6, ceil(0.6 * length(candidate))) AND regexp_matches(fragment, '[A-Z]') AND regexp_matches(fragment, '[0-9]')) WHERE rn = 1)"""
 _CONS = f"""{_FRAG},
-    bf AS (SELECT cluster_id, arg_max(fragment, {{'a': fragment_length, 'b': -inserted}}) AS best_fragment, count(*) AS fragment_support FROM f GROUP BY 1),
-    cons AS (SELECT c.cluster_id, coalesce(plate, '') AS final_plate, coalesce(frame_support, 0) AS frame_support, coalesce(track_support, 0) AS track_support, coalesce(fragment_support, 0) AS fragment_support,
+    bf AS (SELECT cluster_id, arg_max(fragment, {{'a': fragment_length, 'b': -inserted}}) AS best_fragment, max(fragment_length) AS best_fragment_length, count(*) AS fragment_support, count(DISTINCT track_id) AS fragment_tracks FROM f GROUP BY 1),
+    cons AS (SELECT c.cluster_id, member_tracks, coalesce(plate, '') AS final_plate, coalesce(frame_support, 0) AS frame_support, coalesce(track_support, 0) AS track_support, coalesce(fragment_support, 0) AS fragment_support,
+        coalesce(fragment_tracks, 0) AS fragment_tracks, coalesce(best_fragment_length, 0) AS best_fragment_length, round(mean_confidence, 6) AS mean_confidence, round(mean_correction, 4) AS mean_correction, round(mean_quality, 4) AS mean_quality,
         coalesce(best_fragment, '') AS best_fragment, CASE WHEN frame_support IS NULL THEN 'REJECTED' WHEN frame_support >= 2 THEN 'VERIFIED_FULL' WHEN fragment_support >= 1 THEN 'CORROBORATED_FRAGMENT' ELSE 'NEEDS_REVIEW' END AS evidence_status
-        FROM (SELECT DISTINCT cluster_id FROM o) c LEFT JOIN (SELECT * FROM r WHERE candidate_rank = 1) x USING (cluster_id) LEFT JOIN bf USING (cluster_id))"""
+        FROM (SELECT cluster_id, array_to_string(list_sort(list(DISTINCT track_id)), '|') AS member_tracks FROM o GROUP BY 1) c LEFT JOIN (SELECT * FROM r WHERE candidate_rank = 1) x USING (cluster_id) LEFT JOIN bf USING (cluster_id))"""
 _PRF = "CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END AS r"
 _METRICS = "round(p, 9) AS precision, round(r, 9) AS recall, round(CASE WHEN p + r <> 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 9) AS f1"
 _REVIEW = f"(SELECT *, correct <= detections AND correct <= visible AND correct >= 0 AS valid, correct AS tp, detections - correct AS fp, visible - correct AS fn FROM ({plain(views.COUNTS)}))"

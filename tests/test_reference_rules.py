@@ -8,11 +8,12 @@ from sightline.sources import files
 
 
 def test_best_fragment_is_of_the_frame_that_was_first_seen(spark):
-    obs = [(1, 7, "MH12AB", "", 1), (1, 14, "12AB1234", "", 2), (1, 7, "MH12AB12", "", 3), (1, 21, "MH12AB1234", "MH12AB1234", 4)]
-    obs = spark.createDataFrame(obs, "cluster_id long, frame long, text string, plate string, ord long")
+    obs = [(1, 7, 5, "MH12AB", "", 1), (1, 14, 6, "12AB1234", "", 2), (1, 7, 8, "MH12AB12", "", 3), (1, 21, 5, "MH12AB1234", "MH12AB1234", 4)]
+    obs = spark.createDataFrame(obs, "cluster_id long, frame long, track_id long, text string, plate string, ord long")
     found = evidence.fragments(spark.createDataFrame([(1, "MH12AB1234")], "cluster_id long, plate string"), obs)
     best = evidence.best_fragments(found).first()
-    assert (best.best_fragment, best.fragment_support) == ("MH12AB12", 2)
+    assert (best.best_fragment, best.best_fragment_length, best.fragment_support, best.fragment_tracks) == ("MH12AB12", 8, 2, 2)
+    assert {r.frame: r.track_id for r in found.collect()} == {7: 8, 14: 6}  # the track of the fragment that won
 
 
 def test_rows_use_the_upper_median_height(spark):
