@@ -12,6 +12,7 @@ be peeled are retried alone, four times as large and with the next seed, until n
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -193,7 +194,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     # the range above each one; the lowest is followed by the topmost
     goes = [(r.part, tops[(i + 1) % len(tops)].part, r.id, r.th) for i, r in enumerate(tops)]
-    sent = F.broadcast(spark.createDataFrame(goes, "part int, up int, top_id long, top_th long"))  # one row for each shuffle partition
+    # one row for each shuffle partition; as a literal, for rows sent from Python would start Python workers
+    listed = F.from_json(F.lit(json.dumps([dict(zip(("part", "up", "top_id", "top_th"), g)) for g in goes])), "array<struct<part:int,up:int,top_id:bigint,top_th:bigint>>")
+    sent = F.broadcast(spark.range(1, numPartitions=1).select(F.inline(listed)))
     is_top = F.col("id").eqNullSafe(F.col("top_id")) & (F.col("th") == F.col("top_th"))
     to = F.explode(F.when(is_top, F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")), F.struct(F.col("up").alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("guest")))))
     dealt = rows.join(sent, "part").select("id", "text", "th", to.alias("to")).select("id", "text", "th", F.col("to.part").alias("part"), F.col("to.guest").alias("guest"), digests(F.col("text")).alias("own"))
