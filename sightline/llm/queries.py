@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import bpe, chat, fingerprints, language, lines, packing, quality, simhash, urls, warc
+from sightline.llm import bpe, chat, fim, fingerprints, language, lines, mixing, packing, quality, simhash, urls, warc, whitening
 from sightline.llm.common import table
 
 #: The vocabulary that op2 uses; its folder is the tokenizer package's.
@@ -65,6 +65,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,10 +84,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_fingerprints, op2_bpe, op3_chat, op4_packing, op5_warc, op6_simhash, op7_lines, op8_language, op9_urls, op10_quality, pipeline)
+    found = (op1_fingerprints, op2_bpe, op3_chat, op4_packing, op5_warc, op6_simhash, op7_lines, op8_language, op9_urls, op10_quality, op11_whitening, op12_fim, op13_mixing, pipeline)
     return {f.__name__: f for f in found}
 
 
 @functools.cache
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urls": urls.oracle_sql()}
+    return {"op9_urls": urls.oracle_sql(), "op13_mixing": mixing.oracle_sql()}
