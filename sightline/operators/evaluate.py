@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.metrics import f1, prf, safe_div
+from sightline.operators.prefix import ranked, running
+from sightline.plans.lineage import cut
 
 
 def detection_metrics(rows: DataFrame, by: str | None = None) -> DataFrame:
@@ -55,10 +57,44 @@ def operating_point(points: DataFrame, least_recall: float) -> DataFrame:
     return points.agg(best.alias("p")).select("p.*")
 
 
-def upper_median(x: Column | str) -> Column:
-    """sorted[n // 2]."""
-    vals = F.sort_array(F.collect_list(x))
-    return F.get(vals, F.floor(F.size(vals) / 2).cast("int"))
+def curve(rows: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
+    """threshold, tp, fp, fn, precision, recall and f1 at every score that occurs: rows of that score or above are taken. Equal
+    scores are summed first, then totals run over ranges of scores: no grid, and no task that orders all scores. Rows without
+    a score are never taken, but those that are true count as missed."""
+    is_true = F.coalesce((F.col(truth) == 1).cast("long"), F.lit(0))
+    each = cut(rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(is_true).alias("t"), F.sum(1 - is_true).alias("f")))
+    positives = each.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n")).first().n
+    points = running(each.filter("threshold is not null"), [F.col("threshold").desc()], {"tp": F.col("t"), "fp": F.col("f")})
+    points = points.select("threshold", "tp", "fp", (F.lit(positives) - F.col("tp")).alias("fn"))
+    return points.withColumns(prf("tp", "fp", "fn"))
+
+
+def curve_point(points: DataFrame, least_recall: float) -> DataFrame:
+    """The point of a curve (in one row, with the reason) of highest F1 among those of enough recall; of those as close to that
+    F1 as a float comparison would let pass (a hundred-thousandth of it and 1e-8), the one of highest precision, then of
+    lowest threshold. If none has enough recall: that of highest F1, then lowest threshold."""
+    points = cut(points)
+    ok = F.col("recall") >= least_recall
+    top = points.agg(F.max(F.when(ok, F.col("f1"))).alias("kept"), F.max("f1").alias("any")).first()
+    low = (-F.col("threshold")).alias("t")
+    if top.kept is not None:
+        near = points.filter(ok & (F.abs(F.col("f1") - top.kept) <= 1e-8 + 1e-5 * abs(top.kept)))
+        best, why = F.struct("precision", low), f"highest F1 with recall of {least_recall} or more"
+    else:
+        near, best, why = points.filter(F.col("f1") == top.any), F.struct(low), f"highest F1; no recall of {least_recall}"
+    point = near.agg(F.max_by(F.struct(*points.columns), best).alias("p")).filter("p is not null")
+    return point.select("p.*", F.lit(why).alias("reason"))
+
+
+def best_overlap(runs: DataFrame) -> DataFrame:
+    """Of runs (iou, map50_95, map50, f1) the one of highest map50_95, then map50, then f1, then of lowest iou."""
+    best = F.max_by(F.struct(*runs.columns), F.struct("map50_95", "map50", "f1", (-F.col("iou")).alias("i")))
+    return runs.agg(best.alias("p")).filter("p is not null").select("p.*")
+
+
+def upper_medians(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """group, n and `value`: sorted[n // 2] of each group, by repeated histograms: no group is gathered, however large."""
+    return ranked(rows, group, value, F.floor(F.col("n") / 2))
 
 
 def weighted_confidence(conf: str, text: str) -> Column:
@@ -76,4 +112,6 @@ def rejects(bounds: DataFrame, precision: float, recall: float, f: float) -> Dat
     return bounds.withColumn("reject", (F.col("best_precision") < precision) & (F.col("best_recall") < recall) & (F.col("best_f1") < f))
 
 
-__all__ = ["detection_metrics", "evidence_bounds", "f1", "last_per_group", "operating_point", "reading_metrics", "rejects", "sweep", "upper_median", "weighted_confidence"]
+__all__ = [
+    "best_overlap", "curve", "curve_point", "detection_metrics", "evidence_bounds", "f1", "last_per_group", "operating_point", "reading_metrics", "rejects", "sweep", "upper_medians", "weighted_confidence",
+]

@@ -12,7 +12,7 @@ from sightline.functions import geometry as geo
 from sightline.functions import metrics as met
 from sightline.functions import plates
 from sightline.functions import text as tx
-from sightline.operators import annotations, evaluate, evidence, graph, layout, leakage, selection
+from sightline.operators import annotations, evaluate, evidence, graph, layout, leakage, prefix, selection
 from sightline.plans import views
 from sightline.plans.lineage import cut
 from sightline.plans.views import view
@@ -292,8 +292,12 @@ def clustered_rows(spark, d):
 
 @query
 def latency_medians(spark, d):
-    rows = spark.read.parquet(f"{d}/events.parquet")
-    return rows.groupBy("event_type").agg(evaluate.upper_median("value").alias("upper"), F.median("value").alias("middle"), F.round(F.avg(F.when(F.col("event_id") % 3 == 0, F.col("value")).otherwise(0.0)), 6).alias("extra"), F.round(met.fps(F.avg("value")), 6).alias("fps"))
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_type", "event_id", "value")
+    upper = evaluate.upper_medians(rows, "event_type", "value").select(F.col("event_type").alias("_t"), F.col("value").alias("upper"), "n")
+    lower = prefix.ranked(rows, "event_type", "value", F.floor((F.col("n") - 1) / 2)).select(F.col("event_type").alias("_u"), F.col("value").alias("lower"))
+    both = upper.join(lower, F.col("_t").eqNullSafe(F.col("_u"))).select("_t", "upper", ((F.col("lower") + F.col("upper")) / 2).alias("middle"))
+    sums = rows.groupBy("event_type").agg(F.round(F.avg(F.when(F.col("event_id") % 3 == 0, F.col("value")).otherwise(0.0)), 6).alias("extra"), F.round(met.fps(F.avg("value")), 6).alias("fps"))
+    return sums.join(both, F.col("event_type").eqNullSafe(F.col("_t")), "left").drop("_t")
 
 
 @query
