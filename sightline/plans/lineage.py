@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,10 +14,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset
-    (local tests), a temporary folder is made once for the session."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset and the driver is the only
+    executor (local tests), a temporary folder is made once for the session; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="sightline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,23 +33,29 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
-    for made in _scopes:
-        made.append(path)
+    note(path)
     return out
 
 
-#: The paths that cut() writes while a scope is open, for each open scope.
+#: The paths that are written while a scope is open, for each open scope.
 _scopes: list[list[str]] = []
 
 
+def note(path: str) -> None:
+    """Tells open scopes of files that were written for use in between."""
+    for made in _scopes:
+        made.append(path)
+
+
 @contextlib.contextmanager
 def scope(made: list[str]) -> Iterator[None]:
-    """Files that cut() writes meanwhile are added to made."""
+    """Files that are written meanwhile, for use in between, are added to made."""
     _scopes.append(made)
     try:
         yield
     finally:
-        _scopes.remove(made)
+        # by identity: two lists that are equal are two scopes
+        del _scopes[next(i for i, x in enumerate(_scopes) if x is made)]
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
