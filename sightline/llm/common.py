@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sightline.operators.graph import components
-from sightline.plans.lineage import cut, delete, discard, let, release, shared_dir
+from sightline.plans.lineage import cut, delete, discard, let, note, release, scope, shared_dir
 
-__all__ = ["compared", "components", "cut", "delete", "discard", "let", "linked_groups", "release", "shared_dir", "small_batches", "table"]
+__all__ = ["compared", "components", "cut", "delete", "discard", "let", "linked_groups", "note", "release", "scope", "shared_dir", "small_batches", "table"]
 
 #: Rows of an Arrow batch that carries texts.
 BATCH_ROWS = 512
