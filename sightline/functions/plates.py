@@ -1,8 +1,8 @@
 """Registration grammar: repair of confusable characters, parsers, validity and scores.
 
-All parsers list the windows of a cleaned text as an array, repair each by translate(), keep those that
-match the grammar and take the smallest by (score, order): Catalyst expressions throughout. Scores are held
-as whole hundredths, so ties are exact.
+A cleaned text becomes three numbers, whose bits tell which characters can be letters, can be digits, and are digits. Windows
+are ruled out, and their repairs counted, by integer operations on these; only the best window's plate is built, by translate().
+Catalyst expressions throughout. Scores are held as whole hundredths, so ties are exact.
 """
 
 from __future__ import annotations
@@ -22,7 +22,10 @@ TO_DIGIT_OLD = ("OILZSBG", "0112586")
 
 STATE = "(" + "|".join(STATES) + ")"
 BH = "[0-9]{2}BH[0-9]{4}[A-Z]{2}"
-PLAUSIBLE = f"^{STATE}[0-9]{{2}}[A-Z]{{1,2}}[0-9]{{4}}$"
+_LETTERS, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+_ALL = _LETTERS + _DIGITS
+#: Places of a text that one number of bits covers; a window has 11 characters at most.
+STRIDE = 48
 
 
 def digits(x: Column, table: tuple[str, str] = TO_DIGIT) -> Column:
@@ -37,43 +40,82 @@ def _count(x: Column, kind: str) -> Column:
     return F.length(F.regexp_replace(x, f"[^{kind}]", ""))
 
 
-def _parts(text: Column, at: Column | int, series: int, number: int) -> list[Column]:
-    at = at if isinstance(at, Column) else F.lit(at)
-    return [F.substring(text, at, F.lit(2)), F.substring(text, at + 2, F.lit(2)), F.substring(text, at + 4, F.lit(series)), F.substring(text, at + 4 + series, F.lit(number))]
+def _bits(text: Column, chars: str) -> Column:
+    """A text of at most 63 characters as a number: a bit for each character, the first one highest, set for those in chars."""
+    return F.conv(F.translate(text, _ALL, "".join("1" if c in chars else "0" for c in _ALL)), 2, 10).cast("long")
 
 
-def _repaired(parts: list[Column], table: tuple[str, str] = TO_DIGIT) -> tuple[Column, Column]:
-    """(plate, cost): a cost of one for each character of the wrong kind."""
-    s, d, k, n = parts
-    plate = F.concat(letters(s), digits(d, table), letters(k), digits(n, table))
-    return plate, _count(F.concat(s, k), "0-9") + _count(F.concat(d, n), "A-Z")
+def _fits(bits: Column, shift: Column, series: int, number: int) -> Column:
+    """Whether the window of a mask that ends `shift` characters before the text's end has characters that can all be what the
+    mask wants; bits: l (can be letters), d (can be digits)."""
+    letter, digit = _mask(series, number)
+    held = lambda name, mask: F.call_function("shiftright", bits[name], shift).bitwiseAND(F.lit(mask)) == F.lit(mask)
+    return held("l", letter) & held("d", digit)
 
 
-def _windows(text: Column, series: int, number: int, order: int, score, valid: str) -> Column:
-    size = 4 + series + number
-    length = F.length(text)
+def _cost(bits: Column, shift: Column, series: int, number: int) -> Column:
+    """Digits where the mask wants letters, and letters where it wants digits; bits: x (digits)."""
+    letter, digit = _mask(series, number)
+    own = F.call_function("shiftright", bits["x"], shift)
+    return F.bit_count(own.bitwiseAND(F.lit(letter))) + F.bit_count(F.bitwise_not(own).bitwiseAND(F.lit(digit)))
 
-    def one(at: Column) -> Column:
-        plate, cost = _repaired(_parts(text, at, series, number))
-        removed = length - size
-        return F.struct(
-            score(cost, removed, size).alias("score"), cost.alias("cost") if order < 0 else F.lit(0).alias("cost"), (F.lit(abs(order) * 100_000) + at).alias("ord"),
-            cost.alias("own_cost"), removed.alias("removed"), at.alias("start"), plate.alias("plate"),
-        )
 
-    starts = F.when(length >= size, F.sequence(F.lit(1), length - size + 1)).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, one), lambda w: w["plate"].rlike(valid))
+def _mask(series: int, number: int) -> tuple[int, int]:
+    kinds = "LLDD" + "L" * series + "D" * number
+    return tuple(int("".join("1" if k == kind else "0" for k in kinds), 2) for kind in "LD")
 
 
-def _picked(windows: list[Column]) -> Column:
-    return let(F.array_min(F.concat(*windows)), lambda best: F.struct(F.coalesce(best["plate"], F.lit("")).alias("plate"), F.coalesce(best["own_cost"], F.lit(-1)).alias("cost"), F.coalesce(best["removed"], F.lit(999)).alias("removed"), F.coalesce(best["start"] - 1, F.lit(-1)).alias("start")))
+def _facts(text: Column, table: tuple[str, str] = TO_DIGIT) -> Column:
+    return F.struct(_bits(text, _LETTERS + TO_LETTER[0]).alias("l"), _bits(text, _DIGITS + table[0]).alias("d"), _bits(text, _DIGITS).alias("x"), F.length(text).alias("n"))
+
+
+def _windows(text: Column, masks: list[tuple[int, int]], score, by_cost: bool) -> Column:
+    """All windows of a text that become a plate under one of the masks (series, number), as score, cost (0 unless by_cost),
+    ord (mask and place), own_cost, removed, start, size, series. Whether a window fits is told by integer operations on bits
+    of the whole text; only the state code of what fits is looked up. A long text is taken in pieces of STRIDE places."""
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(STRIDE)), lambda base: F.struct(base.alias("base"), _facts(F.substring(text, base + 1, F.lit(STRIDE + 10))).alias("bits")))
+
+    least = min(4 + s + n for _, s, n in masks)
+    shifted = lambda bits, name, shift: F.call_function("shiftright", bits[name], shift)
+
+    def of(piece: Column) -> Column:
+        bits = piece["bits"]
+        places = F.when(bits["n"] >= least, F.sequence(F.lit(0), F.least(bits["n"] - least, F.lit(STRIDE - 1)))).otherwise(F.array().cast("array<int>"))
+        # all masks begin with a state code and two digits
+        heads = F.filter(places, lambda at: (shifted(bits, "l", bits["n"] - at - 2).bitwiseAND(F.lit(3)) == 3) & (shifted(bits, "d", bits["n"] - at - 4).bitwiseAND(F.lit(3)) == 3))
+        heads = F.filter(heads, lambda at: letters(F.substring(text, piece["base"] + at + 1, F.lit(2))).isin(STATES))
+
+        def found(at: Column, k: int, series: int, number: int) -> Column:
+            size = 4 + series + number
+            shift, start, removed = bits["n"] - size - at, piece["base"] + at + 1, F.length(text) - size
+            cost = _cost(bits, shift, series, number)
+            one = F.struct(
+                score(cost, removed, size).alias("score"), (cost if by_cost else F.lit(0)).alias("cost"), (F.lit(k * 100_000) + start).alias("ord"), cost.alias("own_cost"), removed.alias("removed"), start.alias("start"),
+                F.lit(size).alias("size"), F.lit(series).alias("series"),
+            )
+            return F.when((shift >= 0) & _fits(bits, shift, series, number), one)
+
+        return F.flatten(F.transform(heads, lambda at: F.array_compact(F.array(*[found(at, k, s, n) for k, s, n in masks]))))
+
+    return F.flatten(F.transform(pieces, of))
+
+
+def _picked(text: Column, windows: Column) -> Column:
+    """The best window; only its plate is built. A window without a series is the whole text as it is."""
+
+    def plate(w: Column) -> Column:
+        part = lambda at, n: F.substring(text, w["start"] + at, n if isinstance(n, Column) else F.lit(n))
+        return F.when(w["series"] == 0, text).otherwise(F.concat(letters(part(0, 2)), digits(part(2, 2)), letters(part(4, w["series"])), digits(part(4 + w["series"], w["size"] - 4 - w["series"]))))
+
+    best = lambda w: F.struct(F.coalesce(F.when(w.isNotNull(), plate(w)), F.lit("")).alias("plate"), F.coalesce(w["own_cost"], F.lit(-1)).alias("cost"), F.coalesce(w["removed"], F.lit(999)).alias("removed"), F.coalesce(w["start"] - 1, F.lit(-1)).alias("start"))
+    return let(F.array_min(windows), best)
 
 
 def parse_plate(raw: Column | str) -> Column:
     """plate, cost, removed, start: the best window of nine or ten characters, by cost + 0.25 removed -
     0.02 length, then cost, then characters removed, then shorter and earlier; no window gives '', -1, 999, -1."""
     score = lambda cost, removed, size: cost * 100 + removed * 25 - 2 * size
-    return let(clean_text(raw), lambda text: _picked([_windows(text, s, 4, -order, score, PLAUSIBLE) for order, s in ((2, 1), (1, 2))]))
+    return let(clean_text(raw), lambda text: _picked(text, _windows(text, [(2, 1, 4), (1, 2, 4)], score, True)))
 
 
 def parse_fused(raw: Column | str) -> Column:
@@ -84,11 +126,10 @@ def parse_fused(raw: Column | str) -> Column:
 
 def _fused(text: Column) -> Column:
     score = lambda cost, removed, size: cost * 100 + removed * 35 - size
-    masks = [(s, n) for s in (1, 2, 3) for n in (1, 2, 3, 4)]
-    windows = [_windows(text, s, n, k, score, f"^{STATE}[0-9]{{2}}[A-Z]{{{s}}}[0-9]{{{n}}}$") for k, (s, n) in enumerate(masks, 1)]
-    bh = F.struct(F.lit(-10).alias("score"), F.lit(0).alias("cost"), F.lit(9_900_000).alias("ord"), F.lit(0).alias("own_cost"), F.lit(0).alias("removed"), F.lit(1).alias("start"), text.alias("plate"))
-    windows.append(F.when(text.rlike(f"^{BH}$"), F.array(bh)).otherwise(F.array_remove(F.array(bh), bh)))
-    return _picked(windows)
+    masks = [(k, s, n) for k, (s, n) in enumerate(((s, n) for s in (1, 2, 3) for n in (1, 2, 3, 4)), 1)]
+    whole = F.struct(*[F.lit(v).alias(c) for c, v in (("score", -10), ("cost", 0), ("ord", 9_900_000), ("own_cost", 0), ("removed", 0), ("start", 1), ("size", 10), ("series", 0))])
+    bh = F.when(text.rlike(f"^{BH}$"), F.array(whole)).otherwise(F.slice(F.array(whole), 1, 0))
+    return _picked(text, F.concat(_windows(text, masks, score, False), bh))
 
 
 def correct_standard(raw: Column | str) -> Column:
@@ -97,12 +138,20 @@ def correct_standard(raw: Column | str) -> Column:
 
 
 def _standard(text: Column) -> Column:
-    found = []
-    for k, (s, n) in enumerate((s, n) for s in (1, 2, 3) for n in (1, 2, 3, 4)):
-        plate, cost = _repaired(_parts(text, 1, s, n), TO_DIGIT_OLD)
-        fits = (F.length(text) == 4 + s + n) & plate.rlike(f"^{STATE}[0-9]{{2}}[A-Z]{{{s}}}[0-9]{{{n}}}$")
-        found.append(F.when(fits, F.struct(cost.alias("cost"), F.lit(k).alias("k"), plate.alias("plate"))))
-    return let(F.array_min(F.array(*found)), lambda best: F.when(best.isNotNull(), F.struct(best["plate"].alias("plate"), best["cost"].alias("cost"))))
+    masks = [(k, s, n) for k, (s, n) in enumerate((s, n) for s in (1, 2, 3) for n in (1, 2, 3, 4))]
+    none = F.lit(0)
+
+    def best(bits: Column) -> Column:
+        found = [F.when((F.length(text) == 4 + s + n) & _fits(bits, none, s, n), F.struct(_cost(bits, none, s, n).alias("cost"), F.lit(k).alias("k"), F.lit(s).alias("s"))) for k, s, n in masks]
+        return F.when(F.length(text).between(7, 11) & letters(F.substring(text, 1, 2)).isin(STATES), F.array_min(F.array(*found)))
+
+    def built(w: Column) -> Column:
+        part = lambda at, n: F.substring(text, at, n)
+        plate = F.concat(letters(part(F.lit(1), F.lit(2))), digits(part(F.lit(3), F.lit(2)), TO_DIGIT_OLD), letters(part(F.lit(5), w["s"])), digits(part(5 + w["s"], F.lit(4)), TO_DIGIT_OLD))
+        return F.when(w.isNotNull(), F.struct(plate.alias("plate"), w["cost"].alias("cost")))
+
+    # bits are taken of short texts only; longer ones are none of these
+    return let(let(_facts(F.substring(text, 1, 12), TO_DIGIT_OLD), best), built)
 
 
 def correct_bh(raw: Column | str) -> Column:

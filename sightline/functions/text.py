@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sightline.plans.lineage import let
+
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -51,12 +53,27 @@ def min_fragment(x: Column | str) -> Column:
 
 
 def longest_common_substring(a: Column | str, b: Column | str) -> Column:
-    """The longest run of a that also stands in b; of equally long ones the first in a. a is short (a
-    plate), so its substrings are listed; empty or null sides give an empty string."""
+    """The longest run of a that also stands in b; of equally long ones the first in a. Empty or null sides give an empty
+    string. A fold over the characters of a, whose state is one row: how long a run ends at each place of b. So memory is
+    linear in b, and long texts take the product of the lengths."""
     a, b = F.coalesce(_c(a), F.lit("")), F.coalesce(_c(b), F.lit(""))
-    starts = F.when(F.length(a) > 0, F.sequence(F.lit(1), F.length(a))).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(a) - i + 1), lambda n: F.struct((-n).alias("n"), i.alias("i"), F.substring(a, i, n).alias("s")))))
-    return F.coalesce(F.array_min(F.filter(runs, lambda r: b.contains(r["s"])))["s"], F.lit(""))
+
+    def folded(places: Column) -> Column:
+        start = F.struct(F.array().cast("array<int>").alias("row"), F.lit(0).alias("n"), F.lit(0).alias("end"), F.lit(0).alias("i"))
+
+        def step(state: Column, x: Column) -> Column:
+            row = F.transform(places, lambda y, j: F.when(x == y, F.coalesce(F.get(state["row"], j - 1), F.lit(0)) + 1).otherwise(0))
+
+            def longer(new: Column) -> Column:
+                top = F.coalesce(F.array_max(new), F.lit(0))
+                more = top > state["n"]
+                return F.struct(new.alias("row"), F.when(more, top).otherwise(state["n"]).alias("n"), F.when(more, state["i"] + 1).otherwise(state["end"]).alias("end"), (state["i"] + 1).alias("i"))
+
+            return let(row, longer)
+
+        return F.aggregate(F.split(a, ""), start, step, lambda s: F.substring(a, s["end"] - s["n"] + 1, s["n"]))
+
+    return F.when((a == "") | (b == ""), "").otherwise(let(F.split(b, ""), folded))
 
 
 def change_status(before: Column | str, after: Column | str, pred: Column | str, truth: Column | str) -> Column:
