@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "track_id long, rank int, frame long, seq long, score double, late long"
+OUT = "track_id long, rank int, frame long, seq long, score double, late long, gained long, new_late long"
 STATE = "frames array<bigint>, seqs array<bigint>, scores array<double>, last bigint, late bigint"
 
 
@@ -29,13 +29,15 @@ def fold(kept: list[tuple[int, int, float]], frame: int, seq: int, score: float,
 
 def spaced_top_stream(candidates: DataFrame, k: int = 5, gap: int = 5) -> DataFrame:
     """candidates (track_id, frame, seq, score), streaming: after each micro-batch the current selection of
-    every track that it touched (update mode)."""
+    every track that it touched (update mode), with its late rows so far, and of this batch the observations gained and
+    the late rows."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kept, last, late = [], None, 0
         if state.exists:
             frames, seqs, scores, last, late = state.get
             kept = list(zip(frames, seqs, scores))
+        before, late_before = len(kept), late
         rows = sorted(x for b in batches for x in zip(b["frame"].tolist(), b["seq"].tolist(), b["score"].tolist()))
         for frame, seq, score in rows:
             if last is not None and frame < last:
@@ -44,6 +46,6 @@ def spaced_top_stream(candidates: DataFrame, k: int = 5, gap: int = 5) -> DataFr
             last = frame
             kept = fold(kept, frame, seq, score, k, gap)
         state.update(([x[0] for x in kept], [x[1] for x in kept], [x[2] for x in kept], last, late))
-        yield pd.DataFrame([(key[0], i, *x, late) for i, x in enumerate(kept, 1)], columns=["track_id", "rank", "frame", "seq", "score", "late"])
+        yield pd.DataFrame([(key[0], i, *x, late, len(kept) - before, late - late_before) for i, x in enumerate(kept, 1)], columns=["track_id", "rank", "frame", "seq", "score", "late", "gained", "new_late"])
 
     return candidates.groupBy("track_id").applyInPandasWithState(run, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
