@@ -124,3 +124,9 @@ def source_of_frame(name: Column | str) -> Column:
     """The other rule: a V_P_I_<number> anywhere, else what stands before _jpg.rf."""
     x = _c(name)
     return F.coalesce(F.nullif(F.regexp_extract(x, r"(V_P_I_\d+)", 1), F.lit("")), F.split_part(x, F.lit("_jpg.rf."), F.lit(1)))
+
+
+def sample_id(number: Column | str, name: str, width: int = 4, part: Column | None = None, last: str = "", gap: str = "_") -> Column:
+    """name, the part (a split, say) if any, and the number with at least `width` digits, joined by gap."""
+    parts = [F.lit(name), *([part] if part is not None else []), F.format_string(f"%0{width}d", _c(number))]
+    return F.concat(F.concat_ws(gap, *parts), F.lit(last))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,27 +58,50 @@ def deltas(before: DataFrame, after: DataFrame, key: str = "metric") -> DataFram
     return rows.withColumn("delta", F.round(F.col("after") - F.col("before"), 9))
 
 
-def ablation(rows: DataFrame, stages: list[tuple[str, str, Column]], truth: str = "truth") -> DataFrame:
-    """A row for each stage (name, decision, its reading): accuracy, character error rate and blank share; the
-    gain in percentage points over the first stage and over the one before. One pass over rows."""
+@dataclass(frozen=True)
+class AblationStage:
+    """A stage of a study: reading is its text, latency its milliseconds for a row (null where it was not measured)."""
+
+    name: str
+    method: str
+    reading: Column
+    decision: str
+    reason: str = ""
+    latency: Column | None = None
+
+
+def ablation(rows: DataFrame, stages: list[AblationStage], baseline: str, truth: str = "truth") -> DataFrame:
+    """A row for each stage: what it is, accuracy, character error rate, blank share and mean latency; the gain in percentage
+    points over the baseline stage (the kept engine's raw readings, say, rather than another engine's) and over the stage
+    before. One pass over rows."""
+    names = [x.name for x in stages]
+    base = names.index(baseline)
     t = F.col(truth)
     sums = [F.count("*").alias("n"), F.sum(F.length(t)).alias("chars")]
-    for i, (_, _, pred) in enumerate(stages):
-        sums += [F.count_if(pred == t).alias(f"exact{i}"), F.sum(F.levenshtein(pred, t)).alias(f"edits{i}"), F.count_if(pred == "").alias(f"blank{i}")]
+    for i, x in enumerate(stages):
+        took = F.lit(None).cast("double") if x.latency is None else x.latency
+        sums += [F.count_if(x.reading == t).alias(f"exact{i}"), F.sum(F.levenshtein(x.reading, t)).alias(f"edits{i}"), F.count_if(x.reading == "").alias(f"blank{i}"), F.avg(took).alias(f"ms{i}")]
     one = rows.agg(*sums)
     accuracy = lambda i: F.try_divide(F.col(f"exact{i}"), F.col("n"))
     cer = lambda i: F.try_divide(F.col(f"edits{i}"), F.col("chars"))
     table = []
-    for i, (name, decision, _) in enumerate(stages):
-        prior = max(i - 1, 0)
+    for i, x in enumerate(stages):
         table.append(F.struct(
-            F.lit(i).alias("place"), F.lit(name).alias("stage"), F.lit(decision).alias("decision"), F.col("n"), F.col(f"exact{i}").alias("exact"), F.round(accuracy(i), 9).alias("accuracy"), F.round(cer(i), 9).alias("cer"),
-            F.round(F.try_divide(F.col(f"blank{i}"), F.col("n")), 9).alias("blank_rate"), F.round(100 * (accuracy(i) - accuracy(0)), 6).alias("gain_pp"), F.round(100 * (cer(0) - cer(i)), 6).alias("cer_reduction_pp"),
-            F.round(100 * (accuracy(i) - accuracy(prior)), 6).alias("step_pp"),
+            F.lit(i).alias("place"), F.lit(x.name).alias("stage"), F.lit(x.method).alias("method"), F.lit(x.decision).alias("decision"), F.lit(x.reason).alias("reason"), F.col("n"), F.col(f"exact{i}").alias("exact"),
+            F.round(accuracy(i), 9).alias("accuracy"), F.round(cer(i), 9).alias("cer"), F.round(F.try_divide(F.col(f"blank{i}"), F.col("n")), 9).alias("blank_rate"), F.round(f"ms{i}", 6).alias("latency_ms"),
+            F.round(100 * (accuracy(i) - accuracy(base)), 6).alias("gain_pp"), F.round(100 * (cer(base) - cer(i)), 6).alias("cer_reduction_pp"), F.round(100 * (accuracy(i) - accuracy(max(i - 1, 0))), 6).alias("step_pp"),
         ))
     return one.select(F.inline(F.array(*table)))
 
 
+def stage_row(table: DataFrame, stage: str) -> DataFrame:
+    """The row of a stage; it is an error if there is not exactly one."""
+    found = table.filter(F.col("stage") == stage)
+    if found.limit(2).count() != 1:
+        raise ValueError(f"there must be one stage {stage}")
+    return found
+
+
 def cascade(attempts: DataFrame, key: str) -> DataFrame:
     """attempts (key, stage, plate, cost, removed, confidence, tie): the best valid one of the first stage that has
     any, and the number of stages that were needed; plate '' where none is valid. In a stage: lower cost, fewer characters

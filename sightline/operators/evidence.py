@@ -118,6 +118,12 @@ def truth_status(labels: DataFrame, truth: DataFrame) -> DataFrame:
     return g.select("cluster_id", F.array_join("t", "|").alias("truth"), F.when(F.size("t") == 0, "NO_VERIFIED_GT").when(F.size("t") == 1, "CONSISTENT").otherwise("GT_CONFLICT").alias("truth_status"))
 
 
+def members_split(clusters: DataFrame, members: str = "members", as_type: str = "bigint") -> DataFrame:
+    """(cluster_id, track_id) of clusters whose tracks stand in one text, joined by |; a cluster without tracks has no row."""
+    parts = F.filter(F.split(F.col(members), r"\|"), lambda x: x != "")
+    return clusters.select("cluster_id", F.explode(F.transform(parts, lambda x: x.cast(as_type))).alias("track_id"))
+
+
 def shared_frames(crops: DataFrame) -> DataFrame:
     """Pairs of tracks (a < b) with the same content digest in the same frame, and how often."""
     x, y = crops.alias("x"), crops.alias("y")

@@ -97,10 +97,25 @@ def metric_deltas(spark, d):
     return comparison.deltas(_metrics(rows, "other"), _metrics(rows, "pred"))
 
 
+def _ablation(spark, d):
+    Stage = comparison.AblationStage
+    stages = [
+        Stage("raw", "other engine", F.col("other"), "BASELINE", "comparison engine"),
+        Stage("engine", "kept engine", F.col("pred"), "KEEP_ENGINE", "more exact readings", F.length("pred") * 2.0),
+        Stage("filled", "kept engine, then other", tx.first_filled("pred", "other"), "KEEP", "fewer blanks", F.length("pred") + F.length("other").cast("double")),
+    ]
+    return comparison.ablation(view(spark, d, views.READINGS), stages, "engine")
+
+
 @query
 def ablation(spark, d):
-    stages = [("raw", "BASELINE", F.col("other")), ("engine", "KEEP_ENGINE", F.col("pred")), ("filled", "KEEP", tx.first_filled("pred", "other"))]
-    return comparison.ablation(view(spark, d, views.READINGS), stages)
+    return _ablation(spark, d)
+
+
+@query
+def ablation_result(spark, d):
+    """The final stage's row."""
+    return comparison.stage_row(_ablation(spark, d), "filled")
 
 
 @query
@@ -157,7 +172,10 @@ def repeated_sources(spark, d):
 @query
 def sample_ids(spark, d):
     rows = view(spark, d, views.IMAGES)
-    return rows.select("image_id", F.format_string("M_%04d", "image_id").alias("short"), F.format_string("S_%s_%03d", F.upper("split"), "image_id").alias("by_split"))
+    return rows.select(
+        "image_id", tx.sample_id("image_id", "M").alias("short"), tx.sample_id("image_id", "S", 3, F.upper("split")).alias("by_split"), tx.sample_id("image_id", "set", 5, last="_").alias("of_set"),
+        tx.sample_id("image_id", "copy_r", 2, last="_", gap="").alias("of_copy"),
+    )
 
 
 @query
@@ -186,9 +204,9 @@ def _choice(stage: str, where: str, columns: str) -> str:
     SELECT track_id, coalesce(plate, '') AS plate, {columns} cost, CASE WHEN plate IS NOT NULL THEN tie END AS tie FROM f WHERE rn = 1"""
 
 
-def _fold(near: str, order: str) -> str:
+def _fold(near: str, order: str, source: str = LINES) -> str:
     """Rows of regions by a recursion over the regions of an image in order of y. near: over s, h, n of a row and the region z."""
-    return f"""WITH RECURSIVE src AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y, x, h, text) AS i, count(*) OVER (PARTITION BY image) AS total FROM ({plain(LINES)})),
+    return f"""WITH RECURSIVE src AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY y, x, h, text) AS i, count(*) OVER (PARTITION BY image) AS total FROM ({plain(source)})),
     mid AS (SELECT image, list_sort(list(h))[count(*) // 2 + 1] AS m FROM src GROUP BY image),
     z AS (SELECT src.*, greatest(10, 0.6 * m) AS tol FROM src JOIN mid USING (image)),
     f AS (SELECT image, i, total, [{{'s': y, 'h': h, 'n': 1, 'items': [{{'x': x, 't': text}}]}}] AS rows FROM z WHERE i = 1
@@ -199,11 +217,15 @@ def _fold(near: str, order: str) -> str:
     SELECT image, array_to_string(list_transform({order}, lambda r: array_to_string(list_transform(list_sort(r.items), lambda q: q.t), '')), '|') AS rows FROM f WHERE i = total"""
 
 
-def _stage(i: int, name: str, decision: str, pred: str) -> str:
-    return f"SELECT {i} AS place, '{name}' AS stage, '{decision}' AS decision, count(*) AS n, count(*) FILTER ({pred} = truth) AS exact, avg(({pred} = truth)::INT) AS a, sum(levenshtein({pred}, truth)) / sum(length(truth)) AS c, avg(({pred} = '')::INT) AS bl FROM r"
+def _stage(i: int, name: str, method: str, decision: str, reason: str, pred: str, ms: str) -> str:
+    return f"SELECT {i} AS place, '{name}' AS stage, '{method}' AS method, '{decision}' AS decision, '{reason}' AS reason, count(*) AS n, count(*) FILTER ({pred} = truth) AS exact, avg(({pred} = truth)::INT) AS a, sum(levenshtein({pred}, truth)) / sum(length(truth)) AS c, avg(({pred} = '')::INT) AS bl, {ms} AS ms FROM r"
 
 
 _FILLED = "coalesce(nullif(pred, ''), other)"
+_ABLATION = f"""WITH r AS ({_R}), s AS ({_stage(0, 'raw', 'other engine', 'BASELINE', 'comparison engine', 'other', 'CAST(NULL AS DOUBLE)')} UNION ALL {_stage(1, 'engine', 'kept engine', 'KEEP_ENGINE', 'more exact readings', 'pred', 'avg(2.0::DOUBLE * length(pred))')}
+    UNION ALL {_stage(2, 'filled', 'kept engine, then other', 'KEEP', 'fewer blanks', _FILLED, 'avg((length(pred) + length(other))::DOUBLE)')}),
+    t AS (SELECT s.place, s.stage, s.method, s.decision, s.reason, s.n, s.exact, round(s.a, 9) AS accuracy, round(s.c, 9) AS cer, round(s.bl, 9) AS blank_rate, round(s.ms, 6) AS latency_ms, round(100 * (s.a - b.a), 6) AS gain_pp, round(100 * (b.c - s.c), 6) AS cer_reduction_pp,
+        round(100 * (s.a - coalesce(lag(s.a) OVER (ORDER BY s.place), s.a)), 6) AS step_pp FROM s, (SELECT a, c FROM s WHERE stage = 'engine') b)"""
 ORACLES: dict[str, str] = {
     "engine_comparison": f"SELECT id, ea AS a_edits, eb AS b_edits, xa AS a_exact, xb AS b_exact, ca AS a_contains, cb AS b_contains, CASE WHEN ea < eb THEN 'first' WHEN eb < ea THEN 'second' ELSE 'Tie' END AS winner FROM {_SIDES}",
     "engine_totals": f"""SELECT count(*) AS n, count(*) FILTER (ea < eb) AS a_wins, count(*) FILTER (eb < ea) AS b_wins, count(*) FILTER (ea = eb) AS ties, count(*) FILTER (xa) AS a_exact, count(*) FILTER (ca) AS a_contains,
@@ -217,9 +239,8 @@ ORACLES: dict[str, str] = {
     "metric_deltas": f"""WITH r AS ({_R}), m AS (SELECT 'accuracy' AS metric, round(avg((other = truth)::INT), 9) AS before, round(avg((pred = truth)::INT), 9) AS after FROM r UNION ALL
         SELECT 'cer', round(sum(levenshtein(other, truth)) / sum(length(truth)), 9), round(sum(levenshtein(pred, truth)) / sum(length(truth)), 9) FROM r UNION ALL
         SELECT 'blank_rate', round(avg((other = '')::INT), 9), round(avg((pred = '')::INT), 9) FROM r) SELECT *, round(after - before, 9) AS delta FROM m""",
-    "ablation": f"""WITH r AS ({_R}), s AS ({_stage(0, 'raw', 'BASELINE', 'other')} UNION ALL {_stage(1, 'engine', 'KEEP_ENGINE', 'pred')} UNION ALL {_stage(2, 'filled', 'KEEP', _FILLED)})
-        SELECT place, stage, decision, n, exact, round(a, 9) AS accuracy, round(c, 9) AS cer, round(bl, 9) AS blank_rate, round(100 * (a - first_value(a) OVER w), 6) AS gain_pp, round(100 * (first_value(c) OVER w - c), 6) AS cer_reduction_pp,
-        round(100 * (a - coalesce(lag(a) OVER w, a)), 6) AS step_pp FROM s WINDOW w AS (ORDER BY place)""",
+    "ablation": f"{_ABLATION} SELECT * FROM t",
+    "ablation_result": f"{_ABLATION} SELECT * FROM t WHERE stage = 'filled'",
     "observation_sources": f"""WITH o AS ({_O}), u AS (SELECT track_id, frame, 'raw_0deg' AS source, {_CLEAN.format('raw_text')} AS text FROM o UNION ALL
         SELECT track_id, frame, 'preprocess_' || ['upscaled', 'clahe', 'sharpened', 'threshold'][(frame // 7) % 4 + 1], {_CLEAN.format("translate(raw_text, '08', 'OB')")} FROM o)
         SELECT coalesce(cluster_id, track_id) AS cluster_id, source, count(*) AS n, count(DISTINCT text) AS texts, count(DISTINCT (track_id, frame)) AS frames FROM u LEFT JOIN ({plain(views.MAPPING)}) USING (track_id) WHERE text <> '' GROUP BY 1, 2""",
@@ -229,11 +250,12 @@ ORACLES: dict[str, str] = {
         SELECT id, place, text, conf, (b[1] + b[3]) / 2 AS x, (b[2] + b[4]) / 2 AS y, greatest(b[4] - b[2], 1.0) AS h FROM e WHERE text <> ''""",
     "polygon_regions": f"SELECT id, round((4 * x + 2 * w - 1) / 4, 6) AS x, round((4 * y + 1 + 2 * h) / 4, 6) AS y, round(greatest(greatest(y, y + 1, y + h) - least(y, y + 1, y + h), 1.0), 6) AS h FROM ({plain(views.BOXES)})",
     "uneven_rows": _fold("abs(r.s / r.n - z.y) <= z.tol", "rows"),
+    "clustered_rows": _fold("abs(r.s / r.n - z.y) <= z.tol", "rows", f"SELECT *, 12.0::DOUBLE AS h FROM ({views.REGIONS})"),
     "second_engine_lines": _fold("abs(r.s / r.n - z.y) <= 0.6 * greatest(z.h, r.h / r.n)", "list_transform(list_sort(list_transform(rows, lambda r, k: {'m': r.s / r.n, 'k': k, 'items': r.items})), lambda r: r)"),
     "gate_counts": f"""WITH i AS ({_I}) SELECT 'train in val' AS "check", count(*) AS n FROM (SELECT source_id FROM i WHERE split = 'train' INTERSECT SELECT source_id FROM i WHERE split = 'val') UNION ALL
         SELECT 'train in test', count(*) FROM (SELECT source_id FROM i WHERE split = 'train' INTERSECT SELECT source_id FROM i WHERE split = 'test') UNION ALL SELECT 'unlabelled', count(*) FROM i WHERE image_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)""",
     "repeated_sources": f"SELECT source_id, count(*) AS n FROM ({_I}) GROUP BY 1 HAVING count(*) > 1",
-    "sample_ids": f"SELECT image_id, printf('M_%04d', image_id) AS short, printf('S_%s_%03d', upper(split), image_id) AS by_split FROM ({_I})",
+    "sample_ids": f"SELECT image_id, printf('M_%04d', image_id) AS short, printf('S_%s_%03d', upper(split), image_id) AS by_split, printf('set_%05d_', image_id) AS of_set, printf('copy_r%02d_', image_id) AS of_copy FROM ({_I})",
     "review_flags": f"SELECT id, detections > 0 AS needs_review, detections > correct OR visible > correct AS has_error, round(CASE WHEN detections <> 0 THEN correct / detections ELSE 0.0 END, 9) AS share FROM ({plain(views.COUNTS)})",
     "largest_boxes": f"SELECT id % 200 AS image, arg_max(id, {{'a': w * h, 'i': -id}}) AS id, max(w * h) AS area FROM ({plain(views.BOXES)}) GROUP BY 1",
     "attempt_cascade": _choice("CASE WHEN ln = 1 THEN 0 WHEN ln <= 4 THEN 1 ELSE 2 END", "true", "CASE WHEN plate IS NOT NULL THEN stage ELSE last END AS stage,"),

@@ -133,7 +133,7 @@ ORACLES: dict[str, str] = {
         SELECT t.track_id, coalesce(h.txt, spare, '') AS final_text, CASE WHEN support >= 2 AND support / n >= 0.5 THEN 'VERIFIED' WHEN n IS NOT NULL OR spare IS NOT NULL THEN 'NEEDS_REVIEW' ELSE 'REJECTED' END AS status,
         coalesce(support, CASE WHEN spare IS NOT NULL THEN 1 END, 0) AS support, coalesce(n, 0) AS valid_candidates, round(coalesce(support / n, 0.0), 6) AS consensus_ratio
         FROM (SELECT DISTINCT track_id FROM a) t LEFT JOIN (SELECT * FROM h WHERE rn = 1) h USING (track_id) LEFT JOIN sp USING (track_id)""",
-    "truth_of_clusters": f"""WITH {_BASE}, map AS ({MAP}), l AS (SELECT DISTINCT coalesce(map.cluster_id, obs.track_id) AS cluster_id, obs.track_id, CASE WHEN obs.track_id % 3 = 0 THEN substr(truth, 1, 3) END AS t FROM obs LEFT JOIN map ON obs.track_id = map.track_id)
+    "truth_of_clusters": f"""WITH {_BASE}, map AS ({MAP}), l AS (SELECT DISTINCT coalesce(map.cluster_id, obs.track_id) AS cluster_id, obs.track_id, CASE WHEN confidence >= 0.95 THEN truth END AS t FROM obs LEFT JOIN map ON obs.track_id = map.track_id)
         SELECT cluster_id, coalesce(string_agg(DISTINCT t, '|' ORDER BY t), '') AS truth, CASE count(DISTINCT t) WHEN 0 THEN 'NO_VERIFIED_GT' WHEN 1 THEN 'CONSISTENT' ELSE 'GT_CONFLICT' END AS truth_status FROM l GROUP BY 1""",
     "shared_crops": f"WITH c AS ({plain(views.CROPS)}) SELECT x.track_id AS a, y.track_id AS b, count(*) AS matches FROM c x JOIN c y ON x.digest = y.digest AND x.frame = y.frame AND x.track_id < y.track_id GROUP BY ALL",
     "track_clusters": f"{_CLUSTERS} SELECT * FROM lab",
@@ -154,8 +154,9 @@ ORACLES: dict[str, str] = {
         round(CASE WHEN avg(value) > 0 THEN 1000.0 / avg(value) ELSE 0 END, 6) AS fps FROM events GROUP BY 1""",
     "last_epochs": "SELECT user_id, max(event_id) AS epoch, arg_max(value, event_id) AS value, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "open_items": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) ORDER BY doc_id LIMIT 1",
-    "upserted": "SELECT doc_id, quality::INT AS quality FROM labels WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 9 FROM documents WHERE doc_id % 7 = 0",
-    "seeded": "SELECT doc_id, quality::INT AS quality FROM labels UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id % 5 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",
+    "upserted": """WITH c AS (SELECT l_orderkey AS id, max(l_returnflag) AS state FROM lineitem GROUP BY 1 HAVING max(l_returnflag) = 'R')
+        SELECT o_orderkey AS id, o_orderstatus AS state FROM orders WHERE o_orderkey NOT IN (SELECT id FROM c) UNION ALL SELECT * FROM c""",
+    "seeded": "SELECT doc_id, quality::INT AS quality FROM labels UNION ALL SELECT doc_id, -1 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "annotation_rules": f"SELECT id, id % 4 IN (0, 1) OR (id % 4 = 2 AND length(pred) >= 5) AS sample_ok, id % 4 IN (0, 1) OR (id % 4 = 2 AND length(pred) >= 4) AS track_ok FROM ({plain(views.READINGS)})",
     "box_issues": f"""WITH b AS (SELECT id % 500 AS image, id % 3 % 2 AS class, x / 100 AS xc, y / 80 AS yc, w / 100 AS w, h / 80 AS h FROM ({plain(views.BOXES)})),
         i AS (SELECT image, 2 AS k, 'bad class' AS s FROM b WHERE class <> 0 UNION SELECT image, 3, 'outside' FROM b WHERE least(xc, yc, w, h) < 0 OR greatest(xc, yc, w, h) > 1 UNION SELECT image, 2, 'no area' FROM b WHERE w <= 0 OR h <= 0

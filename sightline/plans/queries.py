@@ -209,8 +209,9 @@ def weighted_consensus(spark, d):
 @query
 def truth_of_clusters(spark, d):
     obs = evidence.with_clusters(view(spark, d, views.OBSERVATIONS), view(spark, d, views.MAPPING))
-    truth = obs.filter("track_id % 3 = 0").select("track_id", F.substring("truth", 1, 3).alias("text")).distinct()
-    return evidence.truth_status(obs.select("cluster_id", "track_id").distinct(), truth)
+    truth = obs.filter("confidence >= 0.95").select("track_id", F.col("truth").alias("text")).distinct()
+    members = obs.groupBy("cluster_id").agg(F.array_join(F.array_sort(F.collect_set("track_id")), "|").alias("members"))
+    return evidence.truth_status(evidence.members_split(members), truth)
 
 
 @query
@@ -313,15 +314,15 @@ def open_items(spark, d):
 
 @query
 def upserted(spark, d):
-    table = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    changes = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id % 7 = 0").select("doc_id", F.lit(9).alias("quality"))
-    return annotations.upsert(table, changes, "doc_id")
+    table = spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
+    changes = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_returnflag").alias("state")).filter("state = 'R'")
+    return annotations.upsert(table, changes, "id")
 
 
 @query
 def seeded(spark, d):
     table = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    seed = spark.read.parquet(f"{d}/documents.parquet").filter("doc_id % 5 = 0").select("doc_id", F.lit(-1).alias("quality"))
+    seed = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.lit(-1).alias("quality"))
     return annotations.insert_absent(table, seed, "doc_id")
 
 

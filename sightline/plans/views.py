@@ -51,7 +51,7 @@ BOXES = """
 SELECT CAST(p_partkey AS BIGINT) AS id, 100.0 + p_size AS w_img, 80.0 + p_size AS h_img, CAST(p_partkey % 120 AS DOUBLE) - 10 AS x, CAST(p_partkey % 90 AS DOUBLE) - 8 AS y,
        CAST(p_partkey % 37 AS DOUBLE) AS w, CAST(p_partkey % 23 AS DOUBLE) AS h FROM {part}"""
 REGIONS = """
-SELECT CAST(conv_id AS BIGINT) AS image, CAST(turn * 17.5 AS DOUBLE) AS y, CAST(length(text) AS DOUBLE) AS x, substr(text, 1, 4) AS text, 1.0 / (1 + turn) AS conf
+SELECT CAST(conv_id AS BIGINT) AS image, CAST(turn * 17.5 AS DOUBLE) AS y, CAST(length(text) AS DOUBLE) AS x, text, 1.0 / (1 + turn) AS conf
 FROM {conversations} WHERE text IS NOT NULL"""
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sightline.sources.store import listed
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, required: tuple[str, ...] = ()) -> DataFrame:
     """The columns of the schema, taken by the header's names in any order; a value that isn't of its column's type is
@@ -77,14 +79,12 @@ def read_labels(spark: SparkSession, path: str, strict: bool = True) -> DataFram
 
 def count_labels(spark: SparkSession, path: str) -> DataFrame:
     """path and n, the number of its lines of five tokens, for every file; a file without any counts 0."""
-    found = spark.read.format("binaryFile").load(path)
-    # a scan leaves out files of no bytes, so those come from the listing
-    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string")
-    files = found.select(F.col("_metadata.file_path").alias("path"), F.decode("content", "UTF-8").alias("text"))
-    lines = files.select("path", F.size(F.filter(F.split("text", "\r?\n", -1), lambda x: F.size(F.split(F.trim(x), r"\s+", -1)) == 5)).cast("long").alias("n"))
-    key = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+:)/+", "$1/")  # noqa: E731  file:/ and file:/// are one
-    lines = lines.select(key("path").alias("_key"), "n")
-    return listed.join(lines, key("path") == F.col("_key"), "left").select("path", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    # a scan leaves out files of no bytes, so those come from the listing, which tasks make
+    key = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  file:/, file:/// and a plain path are one
+    every = listed(spark, path).select("path", key("path").alias("_key"))
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(key(F.col("_metadata.file_path")).alias("_k"), F.size(F.split(F.trim("value"), r"\s+", -1)).alias("tokens"))
+    counts = lines.filter("tokens = 5").groupBy("_k").agg(F.count("*").alias("n"))
+    return every.join(counts, F.col("_key") == F.col("_k"), "left").select("path", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -97,3 +97,10 @@ def find_by_prefix(keys: DataFrame, files: DataFrame, key: str, pattern: str) ->
     """keys and the first file (by path) whose name has the key by `pattern`, null if none; n tells how many."""
     found = files.withColumn(key, F.regexp_extract("name", pattern, 1)).groupBy(key).agg(F.min("path").alias("path"), F.count("*").alias("n"))
     return keys.join(found, key, "left").na.fill(0, ["n"])
+
+
+def find_one(keys: DataFrame, files: DataFrame, key: str, pattern: str) -> DataFrame:
+    """keys and the file whose name has the key by `pattern`. The job fails at a key that has none or several."""
+    found = find_by_prefix(keys, files, key, pattern)
+    said = F.concat(F.lit("not one file but "), F.col("n").cast("string"), F.lit(" for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return found.withColumn("path", F.when(F.col("n") == 1, F.col("path")).otherwise(F.raise_error(said).cast("string"))).drop("n")

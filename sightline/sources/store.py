@@ -73,7 +73,8 @@ def listed(spark: SparkSession, folder: str, pattern: Column | None = None) -> D
             for folder in b["path"]:
                 store, top = at(folder)
                 prefix = folder[: len(folder.rstrip("/")) - len(top.rstrip("/"))]
-                infos = store.get_file_info(fs.FileSelector(top, allow_not_found=True))
+                own = store.get_file_info(top)
+                infos = [own] if own.type == fs.FileType.File else store.get_file_info(fs.FileSelector(top, allow_not_found=True))
                 yield pd.DataFrame([(prefix + i.path, -1 if i.type == fs.FileType.Directory else i.size) for i in infos], columns=["path", "length"])
 
     while not todo.isEmpty():
@@ -117,6 +118,30 @@ def publish(staged: str, target: str, size: int) -> None:
     a.move(source_path, target_path)
 
 
+def written(rows: DataFrame, folder: str) -> DataFrame:
+    """rows (name, content: binary) as files folder/name: name and length. Each is staged and then moved to its name, so it is
+    whole or not there; a retried or speculative attempt writes the same file again."""
+    top = folder.rstrip("/")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["name"], b["content"]):
+                staged, target = f"{top}/{STAGED}/{uuid.uuid4().hex}", f"{top}/{name}"
+                (store, staged_path), (_, target_path) = at(staged), at(target)
+                for path in (staged_path, target_path):
+                    store.create_dir(os.path.dirname(path), recursive=True)
+                with store.open_output_stream(staged_path) as out:
+                    out.write(content)
+                store.move(staged_path, target_path)
+            yield pd.DataFrame({"name": b["name"], "length": b["content"].map(len)})
+
+    done = cut(rows.select("name", "content").mapInPandas(work, "name string, length long"))
+    store, stage = at(f"{top}/{STAGED}")
+    if store.get_file_info(stage).type == fs.FileType.Directory:
+        store.delete_dir(stage)
+    return done
+
+
 def materialised(files: DataFrame, folder: str, link: bool = True, copy: Callable[[str, str, bool], tuple[str, int]] = copied) -> DataFrame:
     """files (source, name) placed as folder/name: source, name, mode and length of each, read from a manifest.
 
