@@ -221,6 +221,17 @@ def _stage(i: int, name: str, method: str, decision: str, reason: str, pred: str
     return f"SELECT {i} AS place, '{name}' AS stage, '{method}' AS method, '{decision}' AS decision, '{reason}' AS reason, count(*) AS n, count(*) FILTER ({pred} = truth) AS exact, avg(({pred} = truth)::INT) AS a, sum(levenshtein({pred}, truth)) / sum(length(truth)) AS c, avg(({pred} = '')::INT) AS bl, {ms} AS ms FROM r"
 
 
+def _spaced(k: int, gap: int) -> str:
+    """The selection as a recursion over a track's observations in order."""
+    return f"""WITH RECURSIVE src AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY frame, seq, score) AS i, count(*) OVER (PARTITION BY track_id) AS total FROM ({plain(views.CANDIDATES)})),
+    f AS (SELECT track_id, i, total, [{{'frame': frame, 'seq': seq, 'score': score}}] AS kept FROM src WHERE i = 1
+      UNION ALL SELECT track_id, i, total, list_transform(list_sort(list_transform(n, lambda e, j: {{'s': -e.score, 'j': j, 'e': e}})), lambda o: o.e)[1:{k}]
+      FROM (SELECT track_id, i, total, CASE WHEN coalesce(spot, 0) = 0 THEN list_append(kept, x) WHEN x.score > kept[spot].score THEN list_transform(kept, lambda e, j: CASE WHEN j = spot THEN x ELSE e END) ELSE kept END AS n
+        FROM (SELECT z.track_id, z.i, z.total, f.kept, {{'frame': z.frame, 'seq': z.seq, 'score': z.score}} AS x, list_position(list_transform(f.kept, lambda e: abs(e.frame - z.frame) < {gap}), true) AS spot
+          FROM f JOIN src z ON z.track_id = f.track_id AND z.i = f.i + 1)))
+    SELECT track_id, unnest(range(1, len(kept) + 1)) AS rank, unnest(kept).frame AS frame, unnest(kept).seq AS seq, unnest(kept).score AS score FROM f WHERE i = total"""
+
+
 _FILLED = "coalesce(nullif(pred, ''), other)"
 _ABLATION = f"""WITH r AS ({_R}), s AS ({_stage(0, 'raw', 'other engine', 'BASELINE', 'comparison engine', 'other', 'CAST(NULL AS DOUBLE)')} UNION ALL {_stage(1, 'engine', 'kept engine', 'KEEP_ENGINE', 'more exact readings', 'pred', 'avg(2.0::DOUBLE * length(pred))')}
     UNION ALL {_stage(2, 'filled', 'kept engine, then other', 'KEEP', 'fewer blanks', _FILLED, 'avg((length(pred) + length(other))::DOUBLE)')}),
@@ -250,6 +261,7 @@ ORACLES: dict[str, str] = {
         SELECT id, place, text, conf, (b[1] + b[3]) / 2 AS x, (b[2] + b[4]) / 2 AS y, greatest(b[4] - b[2], 1.0) AS h FROM e WHERE text <> ''""",
     "polygon_regions": f"SELECT id, round((4 * x + 2 * w - 1) / 4, 6) AS x, round((4 * y + 1 + 2 * h) / 4, 6) AS y, round(greatest(greatest(y, y + 1, y + h) - least(y, y + 1, y + h), 1.0), 6) AS h FROM ({plain(views.BOXES)})",
     "uneven_rows": _fold("abs(r.s / r.n - z.y) <= z.tol", "rows"),
+    "spaced_top_k": _spaced(5, 5),
     "clustered_rows": _fold("abs(r.s / r.n - z.y) <= z.tol", "rows", f"SELECT *, 12.0::DOUBLE AS h FROM ({views.REGIONS})"),
     "second_engine_lines": _fold("abs(r.s / r.n - z.y) <= 0.6 * greatest(z.h, r.h / r.n)", "list_transform(list_sort(list_transform(rows, lambda r, k: {'m': r.s / r.n, 'k': k, 'items': r.items})), lambda r: r)"),
     "gate_counts": f"""WITH i AS ({_I}) SELECT 'train in val' AS "check", count(*) AS n FROM (SELECT source_id FROM i WHERE split = 'train' INTERSECT SELECT source_id FROM i WHERE split = 'val') UNION ALL
