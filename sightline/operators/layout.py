@@ -103,3 +103,32 @@ def polygon_region(points: Column) -> Column:
     axis = lambda k: F.transform(points, lambda p: p[k])
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + x) / F.size(v)
     return F.struct(mean(axis("x")).alias("x"), mean(axis("y")).alias("y"), F.greatest(F.array_max(axis("y")) - F.array_min(axis("y")), F.lit(1.0)).alias("h"))
+
+
+def reading(regions: Column, lines=cluster_rows) -> Column:
+    """text, confidence, regions and lines of an array of regions (text, conf, x, y, h): the lines by one of the rules above,
+    joined, and the mean confidence weighted by characters (0 without any). Null counts as no regions."""
+    found = F.filter(F.coalesce(regions, F.array()), lambda r: F.coalesce(r["text"], F.lit("")) != "")
+
+    def of(rs: Column) -> Column:
+        n = F.aggregate(rs, F.lit(0), lambda a, r: a + F.length(r["text"]))
+        weighted = F.aggregate(rs, F.lit(0.0), lambda a, r: a + F.coalesce(r["conf"], F.lit(0.0)) * F.length(r["text"]))
+        rows = lines(F.transform(rs, lambda r: F.struct(r["y"].alias("y"), r["x"].alias("x"), r["h"].alias("h"), r["text"].alias("text"))))
+        return let(rows, lambda ls: F.struct(F.array_join(ls, "").alias("text"), F.when(n > 0, weighted / n).otherwise(0.0).alias("confidence"), F.size(rs).alias("regions"), ls.alias("lines")))
+
+    return let(found, of)
+
+
+def extract_result(result: Column | str) -> Column:
+    """The first engine's reading of its JSON result."""
+    return reading(result_regions(result))
+
+
+def extract_polygons(found: Column | str) -> Column:
+    """The second engine's reading of an array of (points, text, conf): polygons become regions, texts are cleaned, and lines go
+    by its own rule."""
+
+    def region(r: Column) -> Column:
+        return let(polygon_region(r["points"]), lambda p: F.struct(clean_text(r["text"]).alias("text"), r["conf"].alias("conf"), p["x"].alias("x"), p["y"].alias("y"), p["h"].alias("h")))
+
+    return reading(F.transform(F.col(found) if isinstance(found, str) else found, region), cluster_lines)

@@ -140,6 +140,23 @@ def polygon_regions(spark, d):
     return rows.select("id", F.round("r.x", 6).alias("x"), F.round("r.y", 6).alias("y"), F.round("r.h", 6).alias("h"))
 
 
+@query
+def extracted_readings(spark, d):
+    rows = view(spark, d, RESULTS).select("id", layout.extract_result("result").alias("r"))
+    return rows.select("id", "r.text", F.round("r.confidence", 9).alias("confidence"), F.col("r.regions").alias("regions"), F.size("r.lines").alias("lines"))
+
+
+@query
+def extracted_polygons(spark, d):
+    """Two polygons of each box: its upper and its lower half."""
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    x, y, w, h = map(F.col, "xywh")
+    half = lambda top, bottom, text, conf: F.struct(F.array(corner(x, top), corner(x + w, top), corner(x + w, bottom), corner(x, bottom)).alias("points"), text.alias("text"), conf.alias("conf"))
+    both = F.array(half(y + h, y + 2 * h, F.concat(F.lit("b"), F.col("id").cast("string")), F.lit(0.5)), half(y, y + h, F.concat(F.lit("a-"), F.col("id").cast("string")), F.lit(0.75)))
+    rows = view(spark, d, views.BOXES).filter("h >= 1").select("id", layout.extract_polygons(both).alias("r"))
+    return rows.select("id", "r.text", F.round("r.confidence", 9).alias("confidence"), F.size("r.lines").alias("lines"))
+
+
 def _lines(spark, d):
     return view(spark, d, LINES).groupBy("image").agg(F.collect_list(F.struct("y", "x", "h", "text")).alias("r"))  # the lines of one image
 
@@ -233,6 +250,9 @@ def _spaced(k: int, gap: int) -> str:
 
 
 _FILLED = "coalesce(nullif(pred, ''), other)"
+_REGIONS = f"""WITH c AS (SELECT id, unnest([0, 1, 2]) AS place, CASE WHEN id % 2 = 0 THEN json_extract(result, '$.res') ELSE result::JSON END AS j FROM ({plain(RESULTS)})),
+        e AS (SELECT id, place, {_CLEAN.format("json_extract_string(j, '$.rec_texts[' || place || ']')")} AS text, coalesce(json_extract(j, '$.rec_scores[' || place || ']')::DOUBLE, 0.0) AS conf,
+            coalesce(json_extract(j, '$.rec_boxes[' || place || ']')::DOUBLE[], [place::DOUBLE, 0.0, place + 1.0, 1.0]) AS b FROM c)"""
 _ABLATION = f"""WITH r AS ({_R}), s AS ({_stage(0, 'raw', 'other engine', 'BASELINE', 'comparison engine', 'other', 'CAST(NULL AS DOUBLE)')} UNION ALL {_stage(1, 'engine', 'kept engine', 'KEEP_ENGINE', 'more exact readings', 'pred', 'avg(2.0::DOUBLE * length(pred))')}
     UNION ALL {_stage(2, 'filled', 'kept engine, then other', 'KEEP', 'fewer blanks', _FILLED, 'avg((length(pred) + length(other))::DOUBLE)')}),
     t AS (SELECT s.place, s.stage, s.method, s.decision, s.reason, s.n, s.exact, round(s.a, 9) AS accuracy, round(s.c, 9) AS cer, round(s.bl, 9) AS blank_rate, round(s.ms, 6) AS latency_ms, round(100 * (s.a - b.a), 6) AS gain_pp, round(100 * (b.c - s.c), 6) AS cer_reduction_pp,
@@ -255,10 +275,11 @@ ORACLES: dict[str, str] = {
     "observation_sources": f"""WITH o AS ({_O}), u AS (SELECT track_id, frame, 'raw_0deg' AS source, {_CLEAN.format('raw_text')} AS text FROM o UNION ALL
         SELECT track_id, frame, 'preprocess_' || ['upscaled', 'clahe', 'sharpened', 'threshold'][(frame // 7) % 4 + 1], {_CLEAN.format("translate(raw_text, '08', 'OB')")} FROM o)
         SELECT coalesce(cluster_id, track_id) AS cluster_id, source, count(*) AS n, count(DISTINCT text) AS texts, count(DISTINCT (track_id, frame)) AS frames FROM u LEFT JOIN ({plain(views.MAPPING)}) USING (track_id) WHERE text <> '' GROUP BY 1, 2""",
-    "result_regions": f"""WITH c AS (SELECT id, unnest([0, 1, 2]) AS place, CASE WHEN id % 2 = 0 THEN json_extract(result, '$.res') ELSE result::JSON END AS j FROM ({plain(RESULTS)})),
-        e AS (SELECT id, place, {_CLEAN.format("json_extract_string(j, '$.rec_texts[' || place || ']')")} AS text, coalesce(json_extract(j, '$.rec_scores[' || place || ']')::DOUBLE, 0.0) AS conf,
-            coalesce(json_extract(j, '$.rec_boxes[' || place || ']')::DOUBLE[], [place::DOUBLE, 0.0, place + 1.0, 1.0]) AS b FROM c)
+    "result_regions": f"""{_REGIONS}
         SELECT id, place, text, conf, (b[1] + b[3]) / 2 AS x, (b[2] + b[4]) / 2 AS y, greatest(b[4] - b[2], 1.0) AS h FROM e WHERE text <> ''""",
+    "extracted_readings": f"""{_REGIONS} SELECT c.id, coalesce(string_agg(e.text, '' ORDER BY e.x, e.text), '') AS text, round(coalesce(sum(e.conf * length(e.text)) / sum(length(e.text)), 0.0), 9) AS confidence, count(e.text)::INT AS regions,
+        CASE WHEN count(e.text) = 0 THEN 0 ELSE 1 END AS lines FROM (SELECT DISTINCT id FROM c) c LEFT JOIN (SELECT id, text, conf, (b[1] + b[3]) / 2 AS x FROM e WHERE text <> '') e USING (id) GROUP BY 1""",
+    "extracted_polygons": f"SELECT id, 'A' || id || 'B' || id AS text, round((0.75 * (1 + length(id::VARCHAR)) + 0.5 * (1 + length(id::VARCHAR))) / (2 + 2 * length(id::VARCHAR)), 9) AS confidence, 2 AS lines FROM ({plain(views.BOXES)}) WHERE h >= 1",
     "polygon_regions": f"SELECT id, round((4 * x + 2 * w - 1) / 4, 6) AS x, round((4 * y + 1 + 2 * h) / 4, 6) AS y, round(greatest(greatest(y, y + 1, y + h) - least(y, y + 1, y + h), 1.0), 6) AS h FROM ({plain(views.BOXES)})",
     "uneven_rows": _fold("abs(r.s / r.n - z.y) <= z.tol", "rows"),
     "spaced_top_k": _spaced(5, 5),
