@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import compared, components, cut, linked_groups, release, small_batches
+from sightline.llm.common import bucketed, compared, components, cut, discard, linked_groups, release, small_batches
 
 #: Pairs of (query, word of 64 fingerprints) that are compared together; bounds the working memory.
 TILE = 1 << 15
@@ -260,7 +260,9 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    filed = cut(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "zstd")
+    # texts, and below the lists of hashes, lie in buckets: they are joined by their number several times
+    filed = bucketed(docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row")), "rid")
+    release(spark)
     slim = filed.select("rid", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("th"), F.col("row.text").alias("text"))
 
     parity = [f"b{i}" for i in range(PARITIES // 64)]
@@ -282,7 +284,9 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     found = cut(slim.withColumn("p", prints(F.col("text"))).select("rid", "id", "th", "p.*"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "rid")
     classes = cut(found.groupBy("s1", "s2").agg(F.min(first).alias("first")).select("first.*"))
-    own = found.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "n", "ps", *parity)
+    own = bucketed(found.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "n", "ps", *parity), "node")
+    discard(found)
+    release(spark)
     k = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = own.select("node", F.explode_outer(F.slice("ps", 1, (F.col("n") / 5).cast("int") + 1)).alias("part")).select("part", "node").repartition(k, "part")
 
@@ -312,7 +316,6 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     facts_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", F.struct("n", *parity).alias("body"))
     prefixes_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", "ps")
-    release(spark)
     groups = cut(linked_groups(rows, facts_of, near, verify, prefixes_of))
     # of a group the first by id stays, which need not be its root
     placed = groups.join(classes, F.col("node") == F.col("rid")).select("root", "node", F.struct("none", "id", "th", "rid").alias("first"))
