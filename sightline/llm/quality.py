@@ -164,9 +164,10 @@ def fit(samples: list[tuple[np.ndarray, int]], rounds: int = 150, rate: float =
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Field:
-    """The field, fitted to the labelled documents of each label with the smallest hashed ids."""
+    """The field, fitted to the labelled documents of each label with the smallest hashed ids. A document that is labelled both
+    good and bad counts as bad."""
     rank = F.xxhash64("doc_id")
-    known = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    known = labels.filter("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = [known.filter(F.col("quality") == q).orderBy(rank, "doc_id").limit(SAMPLE) for q in (0, 1)]
     picked = F.broadcast(some[0].union(some[1]))  # at most 2 * SAMPLE rows of 12 bytes
 
