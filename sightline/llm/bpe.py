@@ -21,6 +21,7 @@ from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ from pyspark.sql import functions as F
 #: Characters of a block. A longer text is a block of its own.
 BLOCK_CHARS = 24_000_000
 
+#: Words of a bucket whose ids a worker remembers.
+KNOWN = 1 << 20
+
 _ROW = "bucket int, block string, kind int, body binary"
 
 
@@ -121,17 +125,43 @@ def _batches(rows: Iterator[tuple[int, str, int, bytes]]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int32()), pa.array([row[1]]), pa.array([row[2]], pa.int32()), pa.array([row[3]], pa.binary())], names=["bucket", "block", "kind", "body"])
 
 
-def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, with_ids: bool = False) -> DataFrame:
-    """id_col, n_tokens, ids_sha256, decoded_sha256 for each row; with_ids adds ids, array<int>.
-
-    A null text counts as empty (no ids). Repeated rows are encoded like any other; no rows give no rows.
-    Each word's ids are taken back to bytes by the table of token bytes, which is checked to be one to one. A block
-    that finds words other than those it sent (a task that was run again over rows in another order)
-    encodes the missing ones itself: its result is the same.
-    """
+def _ranks(ranks_file: bytes) -> dict[bytes, int]:
     ranks = load_ranks(ranks_file)
     if len(set(ranks.values())) != len(ranks) or any(bytes([i]) not in ranks for i in range(256)):
         raise ValueError("the ranks must be distinct and cover all bytes")
+    return ranks
+
+
+def decode(rows: DataFrame, ranks_file: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """rows and out: the bytes of the tokens whose ids stand in an array column, in order, by the table of token bytes (a
+    vocabulary, whose size doesn't depend on the data). No ids give no bytes; null gives null; an id that the table lacks, and
+    a null id, fail the job."""
+    table = rows.sparkSession.sparkContext.broadcast({i: token for token, i in _ranks(ranks_file).items()})
+
+    @F.arrow_udf("binary")
+    def joined(lists: pa.Array) -> pa.Array:
+        flat, edges = lists.flatten().to_pylist(), np.cumsum([0, *(x or 0 for x in pa.compute.list_value_length(lists).to_pylist())]).tolist()
+        tokens = list(map(table.value.__getitem__, flat))
+        return pa.array([b"".join(tokens[lo:hi]) if there else None for lo, hi, there in zip(edges, edges[1:], lists.is_valid().to_pylist())], pa.binary())
+
+    return rows.withColumn(out, joined(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """id_col, n_tokens, ids_sha256, bypassed (see encode) and decoded_sha256: that of the bytes that decode() gives for a row's
+    ids as they were put together, not of its words."""
+    found = decode(encode(docs, ranks_file, pattern, id_col, text, block_chars), ranks_file)
+    return found.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "bypassed")
+
+
+def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """id_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), ids and bypassed for each row.
+
+    A null text counts as empty (no ids). Repeated rows are encoded like any other; no rows give no rows. A block
+    that finds words other than those it sent (a task that was run again over rows in another order)
+    encodes the missing ones itself, so its result is the same; bypassed tells how many words of a row's block that were.
+    """
+    ranks = _ranks(ranks_file)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(ranks)  # a vocabulary: its size doesn't depend on the data
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -154,7 +184,7 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
 
         return _batches(rows())
 
-    def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
 
         def rows():
@@ -165,6 +195,8 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
                 ids = []
                 for w in (words := _unpack(body)):
                     if (e := known.get(w)) is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
                         e = known[w] = np.array(encode_word(w, table), "<u4").tobytes()
                     ids.append(e)
                 yield bucket, block, 0, _mark(words) + _pack(ids)
@@ -186,9 +218,6 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
         import regex
 
         split, table = regex.compile(pattern), shared.value
-        to_bytes = [b""] * (max(table.values()) + 1)
-        for token, i in table.items():
-            to_bytes[i] = token
         at, came = None, {}
         for bucket, block, kind, body in _streams(it):
             if block != at:
@@ -198,44 +227,36 @@ def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "
                 continue
             held = pa.ipc.open_stream(body).read_all()
             texts = held.column("text").to_pylist()
-            # each text becomes the numbers of its words by position; ids and bytes are kept for each word
+            # each text becomes the numbers of its words by position; ids are kept for each word
             number: dict[str, int] = defaultdict(count().__next__)
             places = [array("I", map(number.__getitem__, split.findall(t))) for t in texts]
             del texts
-            sizes = np.zeros(len(number), np.int64)
-            ids, listed, decoded = [b""] * len(number), [""] * len(number), [b""] * len(number)
+            ids, listed, bypassed = [b""] * len(number), [""] * len(number), 0
             for k, (words, numbers) in _by_bucket(number, buckets).items():
                 sent = came.pop(k, b"")
                 if sent[:8] == _mark(words):
                     packed = _unpack(sent[8:])
                 else:
                     packed = [np.array(encode_word(w, table), "<u4").tobytes() for w in words]
-                flat = np.frombuffer(b"".join(packed), "<u4").tolist()
-                names, tokens = list(map(str, flat)), list(map(to_bytes.__getitem__, flat))
+                    bypassed += len(words)
+                names = list(map(str, np.frombuffer(b"".join(packed), "<u4").tolist()))
                 at_token = 0
                 for i, e in zip(numbers, packed):
                     end = at_token + len(e) // 4
-                    if with_ids:
-                        ids[i] = e
-                    sizes[i], listed[i], decoded[i] = end - at_token, ",".join(names[at_token:end]), b"".join(tokens[at_token:end])
+                    ids[i], listed[i] = e, ",".join(names[at_token:end])
                     at_token = end
             del number
             for lo in range(0, len(places), 512):
-                out: list[tuple] = []
-                for at_words in places[lo : lo + 512]:
-                    n = int(sizes[np.frombuffer(at_words, np.uint32)].sum()) if at_words else 0
-                    text_ids = ",".join(map(listed.__getitem__, at_words))
-                    back = b"".join(map(decoded.__getitem__, at_words))
-                    all_ids = np.frombuffer(b"".join(map(ids.__getitem__, at_words)), "<u4") if with_ids else None
-                    out.append((n, hashlib.sha256(text_ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), all_ids))
-                cols = [held.column("id").slice(lo, 512).combine_chunks(), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.string())]
-                names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    cols, names = [*cols, pa.array([o[3].astype(np.int32) for o in out], pa.list_(pa.int32()))], [*names, "ids"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
-
-    ids = slim.mapInArrow(send_words, _ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode, _ROW)
+                part = places[lo : lo + 512]
+                shas = [hashlib.sha256(",".join(map(listed.__getitem__, p)).encode()).hexdigest() for p in part]
+                whole = [b"".join(map(ids.__getitem__, p)) for p in part]
+                sizes = np.array([len(w) // 4 for w in whole], np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(whole), "<u4").astype(np.int32)))
+                cols = [held.column("id").slice(lo, 512).combine_chunks(), pa.array(sizes), pa.array(shas, pa.string()), lists, pa.array([bypassed] * len(part), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids_sha256", "ids", "bypassed"])
+
+    ids = slim.mapInArrow(send_words, _ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, _ROW)
     blobs = slim.mapInArrow(send_texts, _ROW)
     both = ids.union(blobs).repartition(buckets, "block").sortWithinPartitions("block", "kind")
-    schema = f"id {id_type.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    schema = f"id {id_type.simpleString()}, n_tokens long, ids_sha256 string, ids array<int>, bypassed long"
     return both.mapInArrow(reassemble, schema).withColumnRenamed("id", id_col)

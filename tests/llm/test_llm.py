@@ -102,8 +102,17 @@ def test_bpe_against_the_library(spark):
     extra = ["   two  spaces\t\n\n x", "a" * 3000, "naïve ÄÖ 日本語 \U0001f600 \x1c\x85\u2003z", "don't I'll 123 4,5"]
     docs = odd_docs(spark).select("doc_id", "text").union(spark.createDataFrame([(100 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
     want = sorted((r.doc_id or -1, enc.encode_ordinary(r.text or ""), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
-    got = sorted((r.doc_id or -1, r.ids, r.decoded_sha256) for r in bpe.round_trip(docs, raw, P.PATTERN, block_chars=5000, with_ids=True).collect())
-    assert got == want
+    encoded = cut(bpe.encode(docs, raw, P.PATTERN, block_chars=5000))
+    got = sorted((r.doc_id or -1, r.ids, hashlib.sha256(r.decoded).hexdigest()) for r in bpe.decode(encoded, raw).collect())
+    assert got == want and encoded.filter("bypassed > 0 or n_tokens <> size(ids)").count() == 0
+    # what is decoded is the ids that are stored, whatever the text was
+    changed = bpe.decode(spark.createDataFrame([([72, 105],), ([],), (None,)], "ids array<int>"), raw).collect()
+    back = {v: k for k, v in bpe.load_ranks(raw).items()}
+    assert [r.decoded for r in changed] == [back[72] + back[105], b"", None]
+    with pytest.raises(Exception, match="KeyError"):
+        bpe.decode(spark.createDataFrame([([999_999],)], "ids array<int>"), raw).collect()
+    trip = bpe.round_trip(docs, raw, P.PATTERN, block_chars=5000)
+    assert sorted((r.doc_id or -1, r.n_tokens, r.decoded_sha256) for r in trip.collect()) == [(i, len(x), d) for i, x, d in want]
     assert bpe.round_trip(docs.limit(0), raw, P.PATTERN).count() == 0
 
 
