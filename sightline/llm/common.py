@@ -16,7 +16,11 @@ __all__ = ["bucketed", "compared", "components", "cut", "delete", "discard", "le
 #: Rows of an Arrow batch that carries texts.
 BATCH_ROWS = 512
 #: Nodes of one part that are compared one by one at most; beyond that the part is split.
-CROWD = 1024
+CROWD = 128
+#: Nodes of a part above which it is held against further nodes first, and how often at most.
+LARGE, MOST_TURNS = 64, 8
+#: Orders of the elements that are tried for crowded parts at most.
+MOST_ORDERS = 6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,16 +54,16 @@ def compared(pairs: DataFrame, held: DataFrame, similar: Callable[[str, str], Co
 
 
 def linked_groups(
-    rows: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], prefixes_of: Callable[[DataFrame], DataFrame]
+    rows: DataFrame, facts_of: Callable[[DataFrame], DataFrame], near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], elements_of: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:
     """(node, root) for every node that is similar to another, at 0.8 or above. rows: (part, node), both whole numbers,
     dealt by part; similar nodes share a part. facts_of(nodes) gives (node, body), small facts by which near(a, b) rules
-    out most pairs that are not similar; verify(pairs) leaves the pairs (a, b) that are. prefixes_of(nodes) gives
-    (node, ps): the parts of a node in the common order, and one more of its elements in that order behind them.
+    out most pairs that are not similar; verify(pairs) leaves the pairs (a, b) that are. elements_of(nodes) gives
+    (node, n, es): all elements of a node in the common order, and the number of those whose parts rows has.
 
     Nodes that share a part are first held against the least of them. Only nodes that are in different groups after that
-    are compared one by one, so that a large group of near copies costs its size. A part with more than CROWD nodes that
-    are apart is dealt again by a second element of theirs: similar nodes share two elements of these longer prefixes.
+    are compared one by one, so that a large group of near copies costs its size. Nodes of a part with more than CROWD of
+    them that are apart are dealt anew (see `_dealt_anew`).
     """
     heads = rows.groupBy("part").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last").drop("last")
     spark = rows.sparkSession
@@ -79,13 +83,11 @@ def linked_groups(
     apart = cut(named.filter("not is_head").drop("is_head").join(mixed, "part"))
     discard(shared, groups)
     release(spark)
-    crowded = apart.filter(F.col("members") > CROWD)
+    done, apart = _held_again(done, apart, passed)
+    crowded = apart.filter(F.col("members") > CROWD).select("part", "node", "root")
     dealt = apart.filter(F.col("members") <= CROWD).select("part", "node", "root")
     if not crowded.isEmpty():
-        longer = crowded.join(prefixes_of(crowded.select("node").distinct()), "node")
-        second = F.explode(F.slice("ps", F.array_position("ps", F.col("part")).cast("int") + 1, F.size("ps")))
-        again = longer.select("part", "node", "root", second.alias("other")).select(F.xxhash64("part", "other").alias("part"), "node", "root")
-        dealt = dealt.union(again)
+        dealt = dealt.union(_dealt_anew(crowded, elements_of))
     dealt = dealt.join(facts, "node")
     sides = [dealt.select("part", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "root", "body")]) for x in "ab"]
     pairs = sides[0].join(sides[1], "part").filter((F.col("a_root") < F.col("b_root")) & near("a_body", "b_body")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
@@ -93,3 +95,58 @@ def linked_groups(
     discard(apart, facts)
     release(spark)
     return components(done.union(cut(verify(pairs))))
+
+
+def _held_again(done: DataFrame, apart: DataFrame, passed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The links done and the rows apart (part, node, root, members) after nodes of large parts were held against one more node of
+    their part, and another, as long as that unites at least a tenth of what is apart. A large group of near copies, not all
+    alike, so comes together at a cost of its size for each round, before what is left is compared one by one."""
+    for turn in range(MOST_TURNS):
+        large = apart.filter(F.col("members") > LARGE)
+        first = large.groupBy("part").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("h"))
+        pairs = cut(large.join(first, "part").filter(F.col("root") != F.col("h.root")).select(F.col("h.node").alias("a"), F.col("node").alias("b")).distinct())
+        tried = pairs.select("b").distinct().count()
+        if not tried:
+            break
+        found = cut(passed(pairs))
+        united = found.select("b").distinct().count()
+        discard(pairs)
+        if united:
+            done = cut(done.union(found))
+            groups = components(done)
+            named = apart.drop("root").join(groups, "node", "left").select("part", "node", F.coalesce("root", "node").alias("root"), "members")
+            spread = named.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("part")
+            apart = cut(named.join(spread, "part", "left_semi"))
+        release(apart.sparkSession)
+        if united * 10 < tried:
+            break
+    return done, apart
+
+
+def _dealt_anew(crowded: DataFrame, elements_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(part, node, root) for the nodes of crowded parts (part, node, root): every two similar ones share a part.
+
+    Any order of the elements will do for prefixes, if all nodes have the same one. So elements that crowd come last: what
+    many nodes have in common (boilerplate) tells none of them apart. Elements that crowd then join these, until none does
+    or for MOST_ORDERS orders. A part that is still crowded is of nodes with little else: it is dealt by a second element, as
+    similar nodes share two of a prefix that is one longer.
+    """
+    nodes = crowded.select("node", "root").distinct()
+    lists = cut(nodes.join(elements_of(nodes.select("node")), "node"))
+    release(crowded.sparkSession)
+    known = crowded.select("part").distinct()
+    for _ in range(MOST_ORDERS):
+        hot = cut(known.select(F.col("part").alias("e"), F.lit(True).alias("last")))
+        each = lists.select("node", "root", "n", F.posexplode("es").alias("at", "e")).join(hot, "e", "left")
+        order = F.sort_array(F.collect_list(F.struct(F.coalesce("last", F.lit(False)).alias("last"), "at", "e")))  # the elements of one node
+        ps = F.transform(F.slice(order, 1, F.first("n").cast("int") + 1), lambda x: x["e"])
+        longer = cut(each.groupBy("node").agg(F.first("root").alias("root"), ps.alias("ps"), F.first("n").alias("n")))
+        rows = longer.select("node", "root", "ps", F.explode(F.array_distinct(F.slice("ps", 1, F.col("n").cast("int")))).alias("part"))
+        sizes = cut(rows.groupBy("part").agg(F.count("*").alias("members")).filter(F.col("members") > CROWD).select("part"))
+        known = hot.select(F.col("e").alias("part")).union(sizes).distinct()
+        if sizes.join(hot, F.col("part") == F.col("e"), "left_anti").isEmpty():
+            break
+    still = rows.join(sizes, "part", "left_semi")
+    second = F.explode(F.slice("ps", F.array_position("ps", F.col("part")).cast("int") + 1, F.size("ps")))
+    again = still.select("part", "node", "root", second.alias("other")).select(F.xxhash64("part", "other").alias("part"), "node", "root")
+    return rows.join(sizes, "part", "left_anti").select("part", "node", "root").union(again)

@@ -271,7 +271,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     def prints(texts: pa.Array) -> pa.Array:
         sets = [shingles(t, shingle) for t in texts.to_pylist()]
         digests = [pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64()).view(pa.int64()) for seed in (1, 2)]
-        # one hash more than the prefix of n // 5 + 1
+        # one hash more than the prefix of n // 5 + 1, for the bound below
         cols = [pa.array([len(s) for s in sets], pa.int64()), *digests, pa.array([s[: len(s) // 5 + 2] for s in sets], pa.list_(pa.int64()))]
         odd = np.stack([np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1 for s in sets]) if sets else np.zeros((0, PARITIES), np.int64)
         words = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
@@ -315,8 +315,12 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
         return compared(left, bodies, enough)
 
     facts_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", F.struct("n", *parity).alias("body"))
-    prefixes_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", "ps")
-    groups = cut(linked_groups(rows, facts_of, near, verify, prefixes_of))
+
+    def elements_of(nodes: DataFrame) -> DataFrame:
+        bodies = slim.join(nodes.withColumnRenamed("node", "rid"), "rid", "left_semi").select(F.col("rid").alias("node"), whole(F.col("text")).alias("es"))
+        return bodies.select("node", (F.floor(F.size("es") / 5) + 1).cast("int").alias("n"), "es")
+
+    groups = cut(linked_groups(rows, facts_of, near, verify, elements_of))
     # of a group the first by id stays, which need not be its root
     placed = groups.join(classes, F.col("node") == F.col("rid")).select("root", "node", F.struct("none", "id", "th", "rid").alias("first"))
     least = placed.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.rid").alias("node"))
