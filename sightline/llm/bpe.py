@@ -21,14 +21,17 @@ from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import small_batches
+
 #: Characters of a block. A longer text is a block of its own.
 BLOCK_CHARS = 24_000_000
 
+#: Texts whose ids leave a worker together.
+BATCH = 64
 #: Words of a bucket whose ids a worker remembers.
 KNOWN = 1 << 20
 
@@ -132,30 +135,34 @@ def _ranks(ranks_file: bytes) -> dict[bytes, int]:
     return ranks
 
 
+def _bytes_of(ids: list[int], table: dict[int, bytes]) -> bytes:
+    """The bytes of tokens in order, by the table of token bytes."""
+    return b"".join(map(table.__getitem__, ids))
+
+
 def decode(rows: DataFrame, ranks_file: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows and out: the bytes of the tokens whose ids stand in an array column, in order, by the table of token bytes (a
     vocabulary, whose size doesn't depend on the data). No ids give no bytes; null gives null; an id that the table lacks, and
     a null id, fail the job."""
+    small_batches(rows.sparkSession)
     table = rows.sparkSession.sparkContext.broadcast({i: token for token, i in _ranks(ranks_file).items()})
 
     @F.arrow_udf("binary")
     def joined(lists: pa.Array) -> pa.Array:
-        flat, edges = lists.flatten().to_pylist(), np.cumsum([0, *(x or 0 for x in pa.compute.list_value_length(lists).to_pylist())]).tolist()
-        tokens = list(map(table.value.__getitem__, flat))
-        return pa.array([b"".join(tokens[lo:hi]) if there else None for lo, hi, there in zip(edges, edges[1:], lists.is_valid().to_pylist())], pa.binary())
+        return pa.array([_bytes_of(x.values.to_pylist(), table.value) if x.is_valid else None for x in lists], pa.binary())
 
     return rows.withColumn(out, joined(F.col(ids)))
 
 
 def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """id_col, n_tokens, ids_sha256, bypassed (see encode) and decoded_sha256: that of the bytes that decode() gives for a row's
-    ids as they were put together, not of its words."""
-    found = decode(encode(docs, ranks_file, pattern, id_col, text, block_chars), ranks_file)
-    return found.select(id_col, "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"), "bypassed")
+    """id_col, n_tokens, ids_sha256, decoded_sha256 and bypassed (see encode). What is decoded is a row's ids as they were put
+    together, not its words, and in the task that has them, so that ids need not travel."""
+    return encode(docs, ranks_file, pattern, id_col, text, block_chars, back=True).drop("ids")
 
 
-def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """id_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), ids and bypassed for each row.
+def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, back: bool = False) -> DataFrame:
+    """id_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), ids and bypassed for each row. With back, ids are null
+    and there is decoded_sha256, of the bytes that they decode to.
 
     A null text counts as empty (no ids). Repeated rows are encoded like any other; no rows give no rows. A block
     that finds words other than those it sent (a task that was run again over rows in another order)
@@ -218,6 +225,7 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         import regex
 
         split, table = regex.compile(pattern), shared.value
+        tokens = {i: token for token, i in table.items()} if back else {}
         at, came = None, {}
         for bucket, block, kind, body in _streams(it):
             if block != at:
@@ -246,17 +254,23 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
                     ids[i], listed[i] = e, ",".join(names[at_token:end])
                     at_token = end
             del number
-            for lo in range(0, len(places), 512):
-                part = places[lo : lo + 512]
+            for lo in range(0, len(places), BATCH):
+                part = places[lo : lo + BATCH]
                 shas = [hashlib.sha256(",".join(map(listed.__getitem__, p)).encode()).hexdigest() for p in part]
                 whole = [b"".join(map(ids.__getitem__, p)) for p in part]
                 sizes = np.array([len(w) // 4 for w in whole], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(whole), "<u4").astype(np.int32)))
-                cols = [held.column("id").slice(lo, 512).combine_chunks(), pa.array(sizes), pa.array(shas, pa.string()), lists, pa.array([bypassed] * len(part), pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids_sha256", "ids", "bypassed"])
+                if back:
+                    lists = pa.nulls(len(part), pa.list_(pa.int32()))
+                    decoded = pa.array([hashlib.sha256(_bytes_of(np.frombuffer(w, "<u4").tolist(), tokens)).hexdigest() for w in whole], pa.string())
+                else:
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(whole), "<u4").astype(np.int32)))
+                    decoded = pa.nulls(len(part), pa.string())
+                cols = [held.column("id").slice(lo, BATCH).combine_chunks(), pa.array(sizes), pa.array(shas, pa.string()), lists, decoded, pa.array([bypassed] * len(part), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "n_tokens", "ids_sha256", "ids", "decoded_sha256", "bypassed"])
 
     ids = slim.mapInArrow(send_words, _ROW).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_words, _ROW)
     blobs = slim.mapInArrow(send_texts, _ROW)
     both = ids.union(blobs).repartition(buckets, "block").sortWithinPartitions("block", "kind")
-    schema = f"id {id_type.simpleString()}, n_tokens long, ids_sha256 string, ids array<int>, bypassed long"
-    return both.mapInArrow(reassemble, schema).withColumnRenamed("id", id_col)
+    schema = f"id {id_type.simpleString()}, n_tokens long, ids_sha256 string, ids array<int>, decoded_sha256 string, bypassed long"
+    out = both.mapInArrow(reassemble, schema).withColumnRenamed("id", id_col)
+    return out if back else out.drop("decoded_sha256")
