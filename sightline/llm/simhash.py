@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import bucketed, compared, components, cut, discard, linked_groups, release, small_batches
+from sightline.llm.common import bucketed, by_second, compared, components, cut, discard, linked_groups, release, small_batches
 
 #: Pairs of (query, word of 64 fingerprints) that are compared together; bounds the working memory.
 TILE = 1 << 15
@@ -315,8 +315,8 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
         return compared(left, bodies, enough)
 
     facts_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", F.struct("n", *parity).alias("body"))
-    prefixes_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", "ps")
-    groups = cut(linked_groups(rows, facts_of, near, verify, prefixes_of))
+    again = lambda crowded: by_second(crowded, own.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "ps"))
+    groups = cut(linked_groups(rows, facts_of, near, verify, again))
     # of a group the first by id stays, which need not be its root
     placed = groups.join(classes, F.col("node") == F.col("rid")).select("root", "node", F.struct("none", "id", "th", "rid").alias("first"))
     least = placed.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.rid").alias("node"))
