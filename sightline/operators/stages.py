@@ -26,19 +26,25 @@ class Stage:
     profile: ResourceProfile | None = None
 
 
-def _applied(rows: DataFrame, key: str, stage: Stage, results: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = None
-        for b in batches:
-            for lo in range(0, len(b), stage.batch):
-                part = b.iloc[lo : lo + stage.batch].reset_index(drop=True)
-                model = model or stage.factory()
-                out = model(part).reset_index(drop=True)
-                if len(out) != len(part):
-                    raise ValueError(f"stage {stage.name}: {len(part)} rows in, {len(out)} out")
-                yield pd.concat([part[[key]], out], axis=1)
+def _run(batches: Iterator[pd.DataFrame], key: str, stage: Stage) -> Iterator[pd.DataFrame]:
+    """The key and results of each batch as one frame: the model's batches are small, and each frame costs Spark the same."""
+    model = None
+    for b in batches:
+        outs = []
+        for lo in range(0, len(b), stage.batch):
+            part = b.iloc[lo : lo + stage.batch].reset_index(drop=True)
+            model = model or stage.factory()
+            out = model(part)
+            if len(out) != len(part):
+                raise ValueError(f"stage {stage.name}: {len(part)} rows in, {len(out)} out")
+            outs.append(out)
+        if outs:
+            yield pd.concat([b[[key]].reset_index(drop=True), pd.concat(outs, ignore_index=True)], axis=1)
+
 
+def _applied(rows: DataFrame, key: str, stage: Stage, results: str) -> DataFrame:
     schema = f"{key} {rows.schema[key].dataType.simpleString()}, {results}"
+    run = lambda batches: _run(batches, key, stage)
     return rows.mapInPandas(run, schema, profile=stage.profile) if stage.profile else rows.mapInPandas(run, schema)
 
 

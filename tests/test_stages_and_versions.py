@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightline.operators import annotations
-from sightline.operators.stages import Stage, staged
+from sightline.operators.stages import Stage, _run, staged
 from sightline.sources import versions
 from sightline.streaming.progress import Progress, counted_top_stream
 from sightline.streaming.topk import fold
@@ -47,6 +47,19 @@ def test_stages_run_on_unsolved_rows_only(spark, tmp_path):
         staged(spark.range(0, 9, 1, 1), "id", [bad], "reading string", F.col("reading").isNotNull())
 
 
+def test_a_batch_comes_back_as_one_frame():
+    """The model gets three rows at most; Spark gets a frame for each of its own batches, and none for an empty one."""
+    sizes = []
+
+    def model(b):
+        sizes.append((len(b), list(b.index)))
+        return pd.DataFrame({"reading": [str(k) for k in b["id"]]}, index=range(5, 5 + len(b)))
+
+    got = list(_run(iter([pd.DataFrame({"id": range(10)}), pd.DataFrame({"id": []}), pd.DataFrame({"id": [7]})]), "id", Stage("a", lambda: model, batch=3)))
+    assert [len(x) for x in got] == [10, 1] and list(got[0]["reading"]) == [str(k) for k in range(10)] and list(got[0]["id"]) == list(range(10))
+    assert [n for n, _ in sizes] == [3, 3, 3, 1, 1] and all(at == list(range(n)) for n, at in sizes)
+
+
 def test_two_writers_lose_nothing(spark, tmp_path):
     path, schema, tried, failed = str(tmp_path / "table"), "k long, v string", [], []
 
