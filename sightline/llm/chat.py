@@ -6,7 +6,9 @@ the turn is marked with the part of the old output that it leaves, and nothing o
 mask. Where a turn's own text stands in its span is found by rendering the turn with another text.
 
 A template may declare that it looks back a fixed number of turns and otherwise only adds to its output (`lookback`);
-then each comparison begins that many turns back, and a worker holds no more than those. One that declares nothing is
+then each comparison begins that many turns back. The declaration is not taken on trust: after 1, 2, 4, 8 and so on turns and
+at the end of a conversation the whole prefix is rendered and must be the spans so far, which takes a few times the
+conversation's length in all. One that declares nothing is
 rendered whole at every turn, which takes the square of a conversation's turns. A conversation is one stream in one
 task, as what is put out for it is in sequence.
 """
@@ -120,6 +122,8 @@ class _Open:
         self.conv, self.template, self.back = conv, template, template.lookback
         self.recent: list[Turn] = []
         self.output, self.size, self.n = "", 0, 0
+        self.turns: list[Turn] = []
+        self.spans: list[str] = []
 
     def add(self, role: str, text: str) -> tuple:
         turn = (role, text)
@@ -136,10 +140,21 @@ class _Open:
             self.recent = [*self.recent, turn][max(0, len(self.recent) + 1 - self.back) :]
             if kept is None:
                 raise ValueError(f"the template declares a look-back of {self.back} turns, but changes earlier output in conversation {self.conv}")
+            self.turns.append(turn)
+            self.spans.append(got.span)
         self.size = kept + len(got.span)
         self.n += 1
+        if not self.n & (self.n - 1):
+            self.check()
         return self.conv, self.n, role, got.span, kept, got.start, got.end, got.stable
 
+    def check(self) -> None:
+        """Holds the spans of a declared look-back against the whole prefix, rendered at once."""
+        if self.turns:
+            self.spans = ["".join(self.spans)]
+            if self.template.render(self.turns) != self.spans[0]:
+                raise ValueError(f"the template declares a look-back of {self.back} turns, but its output of {self.n} turns is another one in conversation {self.conv}")
+
 
 SPANS = "conv_id long, n long, role string, span string, kept long, text_start int, text_end int, stable boolean"
 
@@ -164,9 +179,13 @@ def spans(turns: DataFrame, template: Template | None = None) -> DataFrame:
             out = []
             for conv, role, text in zip(*(b.column(c).to_pylist() for c in ("conv_id", "role", "text"))):
                 if now is None or conv != now.conv:
+                    if now is not None:
+                        now.check()
                     now = _Open(conv, template)
                 out.append(now.add(role, text))
             yield _batch(out, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), SPANS)
+        if now is not None:
+            now.check()
 
     return slim.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SPANS)
 

@@ -3,9 +3,10 @@
 import random
 import re
 
+import pytest
 import xxhash
 
-from sightline.llm import quality, queries, simhash
+from sightline.llm import chat, quality, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -75,3 +76,22 @@ def test_conflicting_labels_do_not_depend_on_order(spark):
     labels = [(i, i % 2) for i in range(30)] + [(i, 1 - i % 2) for i in range(10)]
     fields = [quality.train(docs, spark.createDataFrame(rows, "doc_id long, quality int").repartition(n)) for rows, n in ((labels, 1), (labels[::-1], 4))]
     assert (fields[0].emit == fields[1].emit).all() and (fields[0].move == fields[1].move).all()
+
+
+def test_a_declared_look_back_is_held_against_whole_prefixes():
+    """This template numbers its turns but says that a turn stands alone: the spans would not be its output."""
+
+    class Numbered(chat.BracketTemplate):
+        def render(self, turns):
+            return "".join(f"{i} {self.turn(*t)}" for i, t in enumerate(turns))
+
+    now = chat._Open(1, Numbered())
+    with pytest.raises(ValueError, match="another one in conversation 1"):
+        for i in range(3):
+            now.add("user", f"text {i}")
+        now.check()
+    fine = chat._Open(2, chat.BracketTemplate())
+    for i in range(9):
+        fine.add("user" if i % 2 == 0 else "assistant", f"[INST] {i}")
+    fine.check()
+    assert fine.spans == [fine.template.render(fine.turns)]
