@@ -249,10 +249,24 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n) >> np.uint64(1)).view(np.int64)
 
 
+def likely_pairs(prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """prints (node, fp) to pairs (a, b), a < b: stars that connect all nodes over links of at most `radius` differing bits. Equal
+    fingerprints meet at the least of their nodes."""
+    heads = cut(prints.groupBy("fp").agg(F.min("node").alias("head"), F.max("node").alias("last")))
+    same = prints.join(heads.filter("head <> last"), "fp").filter("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    found = edges(heads.select("fp"), radius, blocks)
+    for x in "ab":
+        found = found.join(heads.select(F.col("fp").alias(x), F.col("head").alias(f"{x}_node")), x)
+    return cut(same.union(found.select(F.least("a_node", "b_node"), F.greatest("a_node", "b_node"))))
+
+
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """One document of each linked group stays: the one with the smallest doc_id (nulls last; a tie goes to the
     smaller text hash, then to the earlier row). Columns are those of docs; no rows give no rows.
 
+    First come the SimHashes (`likely_pairs`): texts whose fingerprints are within 3 bits, found by bit-sliced comparison and
+    verified. What they can't find, as most texts of a similarity near the limit differ in more bits, is completed below.
+
     Every two texts are linked whose sets of `shingle`-word shingles have a Jaccard similarity of 0.8 or more; null and
     blank texts are alike. Such sets share one of the least n / 5 + 1 hashes of each, so no link is lost, and candidates
     are verified on the whole sets. What two texts share of these hashes bounds what they can share at all, so most
@@ -267,15 +281,16 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     parity = [f"b{i}" for i in range(PARITIES // 64)]
 
-    @F.arrow_udf(f"n long, s1 long, s2 long, ps array<long>, {', '.join(f'{b} long' for b in parity)}")
+    @F.arrow_udf(f"fp long, n long, s1 long, s2 long, ps array<long>, {', '.join(f'{b} long' for b in parity)}")
     def prints(texts: pa.Array) -> pa.Array:
         sets = [shingles(t, shingle) for t in texts.to_pylist()]
         digests = [pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64()).view(pa.int64()) for seed in (1, 2)]
+        marks = pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.uint64()).view(pa.int64())
         # one hash more than the prefix of n // 5 + 1
         cols = [pa.array([len(s) for s in sets], pa.int64()), *digests, pa.array([s[: len(s) // 5 + 2] for s in sets], pa.list_(pa.int64()))]
         odd = np.stack([np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1 for s in sets]) if sets else np.zeros((0, PARITIES), np.int64)
         words = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
-        return pa.StructArray.from_arrays([*cols, *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["n", "s1", "s2", "ps", *parity])
+        return pa.StructArray.from_arrays([marks, *cols, *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["fp", "n", "s1", "s2", "ps", *parity])
 
     @F.arrow_udf("array<long>")
     def whole(texts: pa.Array) -> pa.Array:
@@ -284,7 +299,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     found = cut(slim.withColumn("p", prints(F.col("text"))).select("rid", "id", "th", "p.*"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "th", "rid")
     classes = cut(found.groupBy("s1", "s2").agg(F.min(first).alias("first")).select("first.*"))
-    own = bucketed(found.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "n", "ps", *parity), "node")
+    own = bucketed(found.join(classes.select("rid"), "rid", "left_semi").select(F.col("rid").alias("node"), "fp", "n", "ps", *parity), "node")
     discard(found)
     release(spark)
     k = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -316,7 +331,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     facts_of = lambda nodes: own.join(nodes, "node", "left_semi").select("node", F.struct("n", *parity).alias("body"))
     again = lambda crowded: by_second(crowded, own.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "ps"))
-    groups = cut(linked_groups(rows, facts_of, near, verify, again))
+    groups = cut(linked_groups(rows, facts_of, near, verify, again, likely_pairs(own.select("node", "fp"))))
     # of a group the first by id stays, which need not be its root
     placed = groups.join(classes, F.col("node") == F.col("rid")).select("root", "node", F.struct("none", "id", "th", "rid").alias("first"))
     least = placed.groupBy("root").agg(F.min("first").alias("least")).select(F.col("least.rid").alias("node"))

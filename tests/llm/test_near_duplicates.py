@@ -35,3 +35,24 @@ def test_every_pair_of_the_similarity_is_linked(spark):
     docs = spark.createDataFrame([*rows, rows[7]], "doc_id long, text string, kept string").repartition(3)
     got = [x.doc_id for x in simhash.keep_one(docs).collect()]
     assert sorted(got, key=str) == sorted((ids[i] for i, v in root.items() if i == v), key=str)
+
+
+def test_simhashes_link_first(spark, monkeypatch):
+    """The stage hands the pairs of the bit-sliced comparison to the lossless filter: all within three bits hang together."""
+    r = random.Random(4)
+    prints = [r.getrandbits(62) for _ in range(40)]
+    prints += [p ^ (1 << r.randrange(62)) ^ (1 << r.randrange(62)) for p in prints[:20]] + prints[:5]
+    frame = spark.createDataFrame(list(enumerate(prints)), "node long, fp long")
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and root[i] != root[j]:
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if x == hi else x for x in root]
+    found = {x.node: x.root for x in simhash.components(simhash.likely_pairs(frame)).collect()}
+    assert [found.get(i, i) for i in range(len(prints))] == root
+    given, real = [], simhash.linked_groups
+    monkeypatch.setattr(simhash, "linked_groups", lambda *a: given.append(a[5].count()) or real(*a))
+    base = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join(reversed(base)))], "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == [1, 3] and given == [1]
