@@ -28,6 +28,8 @@ from sightline.llm.common import bucketed, by_second, compared, components, cut,
 TILE = 1 << 15
 #: Parity bits of a set of shingle hashes, by which most pairs that are not similar are ruled out.
 PARITIES = 1024
+#: The share of rows that common shingles are looked for in, how often one stands there at least, and how many are noted at most.
+SAMPLE, COMMON, NOTED = 16, 3, 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -249,6 +251,27 @@ def shingles(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n) >> np.uint64(1)).view(np.int64)
 
 
+def common_shingles(slim: DataFrame, shingle: int) -> np.ndarray:
+    """Ascending hashes of shingles that several of one in SAMPLE texts have, the most frequent NOTED of them at most. It sets
+    the order of prefixes and nothing else; results are the same with any."""
+
+    @F.arrow_udf("array<long>")
+    def sets(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles(t, shingle) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    some = slim.filter(F.pmod(F.xxhash64("rid"), F.lit(SAMPLE)) == 0).select(F.explode(sets(F.col("text"))).alias("h"))
+    top = some.groupBy("h").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(NOTED).select("h").toArrow()
+    return np.sort(top.column("h").to_numpy())
+
+
+def in_order(hashes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Ascending hashes as numbers in the order of prefixes: those that aren't common come first, as negative numbers."""
+    if not len(common):
+        return hashes + np.int64(-(1 << 63))
+    known = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+    return np.concatenate([hashes[~known] + np.int64(-(1 << 63)), hashes[known]])
+
+
 def likely_pairs(prints: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """prints (node, fp) to pairs (a, b), a < b: stars that connect all nodes over links of at most `radius` differing bits. Equal
     fingerprints meet at the least of their nodes."""
@@ -268,8 +291,9 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     verified. What they can't find, as most texts of a similarity near the limit differ in more bits, is completed below.
 
     Every two texts are linked whose sets of `shingle`-word shingles have a Jaccard similarity of 0.8 or more; null and
-    blank texts are alike. Such sets share one of the least n / 5 + 1 hashes of each, so no link is lost, and candidates
-    are verified on the whole sets. What two texts share of these hashes bounds what they can share at all, so most
+    blank texts are alike. Such sets share one of the first n / 5 + 1 hashes of each in any common order, so no link is lost, and candidates
+    are verified on the whole sets. Shingles that many texts have come last (`common_shingles`), so that a passage of many texts
+    doesn't make pairs of all that have it. What two texts share of these hashes bounds what they can share at all, so most
     others are never fetched. Texts of equal sets count as one.
     """
     spark = docs.sparkSession
@@ -280,6 +304,8 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     slim = filed.select("rid", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("th"), F.col("row.text").alias("text"))
 
     parity = [f"b{i}" for i in range(PARITIES // 64)]
+    common = common_shingles(slim, shingle)
+    release(spark)
 
     @F.arrow_udf(f"fp long, n long, s1 long, s2 long, ps array<long>, {', '.join(f'{b} long' for b in parity)}")
     def prints(texts: pa.Array) -> pa.Array:
@@ -287,7 +313,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
         digests = [pa.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], pa.uint64()).view(pa.int64()) for seed in (1, 2)]
         marks = pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.uint64()).view(pa.int64())
         # one hash more than the prefix of n // 5 + 1
-        cols = [pa.array([len(s) for s in sets], pa.int64()), *digests, pa.array([s[: len(s) // 5 + 2] for s in sets], pa.list_(pa.int64()))]
+        cols = [pa.array([len(s) for s in sets], pa.int64()), *digests, pa.array([in_order(s, common)[: len(s) // 5 + 2] for s in sets], pa.list_(pa.int64()))]
         odd = np.stack([np.bincount(s & (PARITIES - 1), minlength=PARITIES) & 1 for s in sets]) if sets else np.zeros((0, PARITIES), np.int64)
         words = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
         return pa.StructArray.from_arrays([marks, *cols, *(pa.array(np.ascontiguousarray(w)) for w in words.T)], ["fp", "n", "s1", "s2", "ps", *parity])

@@ -56,3 +56,15 @@ def test_simhashes_link_first(spark, monkeypatch):
     base = [f"w{i}" for i in range(400)]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[:-1])), (3, " ".join(reversed(base)))], "doc_id long, text string")
     assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == [1, 3] and given == [1]
+
+
+def test_a_passage_of_many_texts_makes_no_pairs(spark, monkeypatch):
+    """Texts that are not alike share a passage: its shingles come last in prefixes, so that no part has all the texts."""
+    parts, real = [], simhash.linked_groups
+    monkeypatch.setattr(simhash, "linked_groups", lambda rows, *a: parts.extend(x["count"] for x in rows.groupBy("part").count().collect()) or real(rows, *a))
+    passage = [f"p{i}" for i in range(40)]
+    rows = [(i, " ".join([*passage, *[f"w{i}x{k}" for k in range(60)]])) for i in range(300)]
+    near = [(1000 + i, t.replace(f"w{i}x9", "other")) for i, t in rows[:5]]
+    docs = spark.createDataFrame([*rows, *near], "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.keep_one(docs).collect()) == list(range(300))
+    assert max(parts) < 50
