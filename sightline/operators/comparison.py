@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import text as tx
+from sightline.operators.evidence import is_first
 
 #: Fixed order of the image variants in a choice between equals.
 VARIANTS = ("upscaled", "clahe", "sharpened", "threshold")
@@ -128,6 +129,23 @@ def observations_of(frames: DataFrame, retries: DataFrame, mapping: DataFrame) -
     return rows.join(mapping, "track_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "track_id"))
 
 
+def retried_observations(rows: DataFrame, mapping: DataFrame, n: int) -> DataFrame:
+    """observations_of() where each reading has its retry beside it: rows (track_id, frame, raw, variant, retry), dealt by cluster
+    over n partitions. A reading becomes two rows where they are, so that it is read, joined and shuffled once."""
+    placed = rows.join(mapping, "track_id", "left").withColumn("cluster_id", F.coalesce("cluster_id", "track_id")).repartition(n, "cluster_id")
+    both = F.array(F.struct(F.lit("raw_0deg").alias("source"), F.col("raw").alias("raw")), F.struct(F.concat(F.lit("preprocess_"), F.col("variant")).alias("source"), F.col("retry").alias("raw")))
+    each = placed.select("track_id", "frame", "cluster_id", F.explode(both).alias("x"))
+    return each.select("track_id", "frame", "x.source", tx.clean_text("x.raw").alias("text"), "cluster_id").filter("text <> ''")
+
+
+def source_counts(rows: DataFrame) -> DataFrame:
+    """Readings, distinct texts, and distinct frames of tracks for each cluster and source: rows (cluster_id, source, text, track_id,
+    frame). Where rows are dealt by cluster nothing is shuffled."""
+    marked = rows.withColumn("_x", is_first("cluster_id", "source", "text")).withColumn("_f", is_first("cluster_id", "source", "track_id", "frame"))
+    full = F.col("_f") & F.col("track_id").isNotNull() & F.col("frame").isNotNull()
+    return marked.groupBy("cluster_id", "source").agg(F.count("*").alias("n"), F.count(F.when(F.col("_x"), F.col("text"))).alias("texts"), F.count(F.when(full, 1)).alias("frames"))
+
+
 def gate(rows: DataFrame, what: str) -> None:
     """Fails if there is any row; at most five of them are shown."""
     some = rows.limit(5).collect()

@@ -18,6 +18,12 @@ def with_clusters(obs: DataFrame, mapping: DataFrame, track: str = "track_id") -
     return obs.join(m, F.col(track) == F.col("_t"), "left").withColumn("cluster_id", F.coalesce("_c", track)).drop("_t", "_c")
 
 
+def is_first(*keys: str) -> Column:
+    """Whether a row is the one that counts of all with the same keys: for counts of distinct values where rows lie together by
+    the first key, without a copy of each row for each count."""
+    return F.row_number().over(Window.partitionBy(*keys).orderBy(keys[-1])) == 1
+
+
 def votes(obs: DataFrame) -> DataFrame:
     """obs (cluster_id, plate, frame, track_id, confidence, correction, quality, ord) by cluster and plate:
     supports over distinct frames and tracks, means over all rows. Blank plates don't vote."""

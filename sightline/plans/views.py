@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sightline.functions.plates import STATES
 
+#: Rows of a table that one task sorts or groups at most, on the average.
+PART_ROWS = 1 << 19
+
 _K = "((l_orderkey * 7919) % 1000003)"
 _PLATE = (
     f"substr('{''.join(STATES)}', CAST(1 + 2 * ({_K} % 37) AS INT), 2) || lpad(CAST({_K} % 100 AS STRING), 2, '0') || chr(CAST(65 + {_K} % 26 AS INT))"
@@ -63,6 +66,12 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in set(_names(sql))})
 
 
+def parts_of(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Partitions for the rows of a table: what a shuffle has, and more where one would hold over PART_ROWS rows."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_ROWS))
+
+
 def plain(sql: str) -> str:
     """The view's SQL over the tables' own names."""
     return sql.format(**{n: n for n in _names(sql)})
