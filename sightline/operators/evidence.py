@@ -26,10 +26,12 @@ def is_first(*keys: str) -> Column:
 
 def votes(obs: DataFrame) -> DataFrame:
     """obs (cluster_id, plate, frame, track_id, confidence, correction, quality, ord) by cluster and plate:
-    supports over distinct frames and tracks, means over all rows. Blank plates don't vote."""
-    return obs.filter("plate <> ''").groupBy("cluster_id", "plate").agg(
-        F.countDistinct("frame").alias("frame_support"),
-        F.countDistinct("track_id").alias("track_support"),
+    supports over distinct frames and tracks, means over all rows. Blank plates don't vote. Where obs lies in buckets of
+    cluster_id nothing is shuffled."""
+    rows = obs.filter("plate <> ''").withColumn("_f", is_first("cluster_id", "plate", "frame")).withColumn("_t", is_first("cluster_id", "plate", "track_id"))
+    return rows.groupBy("cluster_id", "plate").agg(
+        F.count(F.when(F.col("_f"), F.col("frame"))).alias("frame_support"),
+        F.count(F.when(F.col("_t"), F.col("track_id"))).alias("track_support"),
         F.avg("confidence").alias("mean_confidence"),
         F.avg("correction").alias("mean_correction"),
         F.avg("quality").alias("mean_quality"),

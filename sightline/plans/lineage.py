@@ -37,6 +37,20 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return out
 
 
+def bucketed(rows: DataFrame, key: str, compression: str = "zstd", n: int | None = None) -> DataFrame:
+    """rows, written once to the shared folder in n buckets of key (by default as many as a shuffle has partitions): every later
+    join, window or grouping by it reads them without a shuffle."""
+    spark = rows.sparkSession
+    n = n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"rows_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    rows.repartition(n, key).write.bucketBy(n, key).option("compression", compression).option("path", path).saveAsTable(name)
+    note(path)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # leaves the files, which out reads, but no entry in the catalog
+    return out
+
+
 #: The paths that are written while a scope is open, for each open scope.
 _scopes: list[list[str]] = []
 

@@ -14,7 +14,7 @@ from sightline.functions import plates
 from sightline.functions import text as tx
 from sightline.operators import annotations, evaluate, evidence, graph, layout, leakage, prefix, selection
 from sightline.plans import views
-from sightline.plans.lineage import cut
+from sightline.plans.lineage import bucketed, cut
 from sightline.plans.views import view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +29,12 @@ def query(f: Query) -> Query:
 
 
 def _obs(spark, d):
-    """Observations with their parsed plate, in clusters: parsed once, as what follows reads them several times."""
+    """Observations with their parsed plate, in clusters: parsed once, as what follows reads them several times, and in buckets of
+    their cluster, by which all of that groups and joins."""
     obs = view(spark, d, views.OBSERVATIONS).withColumn("text", tx.clean_text("raw_text")).withColumn("parsed", plates.parse_plate("raw_text"))
     obs = obs.select("*", F.col("parsed.plate").alias("plate"), F.col("parsed.cost").alias("correction")).drop("parsed")
     used = obs.select("track_id", "frame", "ord", "text", "plate", "correction", "confidence", "quality")
-    return cut(evidence.with_clusters(used, view(spark, d, views.MAPPING)))
+    return bucketed(evidence.with_clusters(used, view(spark, d, views.MAPPING)), "cluster_id", n=views.parts_of(spark, d, "lineitem"))
 
 
 def _options(spark, d):

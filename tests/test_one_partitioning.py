@@ -18,6 +18,20 @@ def observations(spark):
     return rows, spark.createDataFrame(rows, "cluster_id long, track_id long, frame long, ord long, text string, plate string, correction int, confidence double, quality double")
 
 
+def test_votes_of_rows_in_buckets(spark):
+    rows, df = observations(spark)
+    found = evidence.votes(bucketed(df, "cluster_id"))
+    want = {}
+    for c, t, f, o, _, p, *_ in rows:
+        if p:
+            frames, tracks, first = want.setdefault((c, p), (set(), set(), [o]))
+            frames.add(f)
+            tracks.add(t)
+    got = {(x.cluster_id, x.plate): (x.frame_support, x.track_support, x.first_seen) for x in found.collect()}
+    assert got == {k: (len(f - {None}), len(t - {None}), o[0]) for k, (f, t, o) in want.items()}
+    assert shuffles(found) == 0 and "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sources_count_once_dealt(spark):
     r = random.Random(8)
     rows = [(r.randrange(12), r.choice([7, 14, None]), r.choice(["mh-12", "MH12", "", "dl01"]), r.choice(["clahe", "threshold"])) for _ in range(300)]
