@@ -53,8 +53,9 @@ def fragments(selected: DataFrame, obs: DataFrame) -> DataFrame:
     longest run shared with the plate, long enough and of letters and digits; of equally long ones the first
     observation's."""
     chosen = selected.select("cluster_id", F.col("plate").alias("candidate"))
-    full = obs.join(chosen, "cluster_id").filter("plate = candidate").select("cluster_id", "frame").distinct()
-    rest = obs.join(chosen, "cluster_id").join(full, ["cluster_id", "frame"], "left_anti")
+    read = F.max(F.coalesce(F.col("plate") == F.col("candidate"), F.lit(False))).over(Window.partitionBy("cluster_id", "frame"))
+    # a null frame is no frame that the plate was read in
+    rest = obs.join(chosen, "cluster_id").withColumn("_read", read & F.col("frame").isNotNull()).filter("not _read").drop("_read")
     found = rest.withColumn("fragment", longest_common_substring("candidate", "text")).filter((F.length("fragment") >= min_fragment("candidate")) & mixed_alphanumeric("fragment"))
     top = F.max_by(F.struct("fragment", "track_id"), F.struct(F.length("fragment").alias("n"), (-F.col("ord")).alias("o")))
     # a frame's place is that of its first fragment, whichever of its fragments wins

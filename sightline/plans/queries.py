@@ -37,6 +37,11 @@ def _obs(spark, d):
     return bucketed(evidence.with_clusters(used, view(spark, d, views.MAPPING)), "cluster_id", n=views.parts_of(spark, d, "lineitem"))
 
 
+def _selected(spark, d, obs):
+    """The selected plate of each cluster, in the buckets of obs."""
+    return bucketed(evidence.ranked(evidence.votes(obs)).filter("selected"), "cluster_id", n=views.parts_of(spark, d, "lineitem"))
+
+
 def _options(spark, d):
     return evidence.ranked(evidence.votes(_obs(spark, d)))
 
@@ -44,9 +49,8 @@ def _options(spark, d):
 @query
 def consensus(spark, d):
     obs = _obs(spark, d)
-    options = evidence.ranked(evidence.votes(obs))
-    found = evidence.fragments(options.filter("selected"), obs)
-    return evidence.consensus(obs, options, found)
+    selected = _selected(spark, d, obs)
+    return evidence.consensus(obs, selected, evidence.fragments(selected, obs))
 
 
 @query

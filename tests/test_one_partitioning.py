@@ -32,6 +32,20 @@ def test_votes_of_rows_in_buckets(spark):
     assert shuffles(found) == 0 and "Expand" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fragments_and_consensus_of_rows_in_buckets(spark):
+    rows, df = observations(spark)
+    obs = bucketed(df, "cluster_id")
+    chosen = {1: "MH12AB1234", 2: "DL01CD5678"}
+    picked = bucketed(spark.createDataFrame(list(chosen.items()), "cluster_id long, plate string"), "cluster_id")
+    found = evidence.fragments(picked, obs)
+    read = {(c, f) for c, _, f, _, _, p, *_ in rows if chosen.get(c) == p and f is not None}
+    want = {(c, f) for c, _, f, _, t, *_ in rows if c in chosen and (c, f) not in read and (t == chosen[c] or t == chosen[c][:8])}
+    assert {(x.cluster_id, x.frame) for x in found.collect()} == want and want
+    assert shuffles(found) == 0
+    ranked = bucketed(evidence.ranked(evidence.votes(obs)).filter("selected"), "cluster_id")
+    assert shuffles(evidence.consensus(obs, ranked, evidence.fragments(ranked, obs))) == 0
+
+
 def test_sources_count_once_dealt(spark):
     r = random.Random(8)
     rows = [(r.randrange(12), r.choice([7, 14, None]), r.choice(["mh-12", "MH12", "", "dl01"]), r.choice(["clahe", "threshold"])) for _ in range(300)]
