@@ -14,13 +14,13 @@ import base64
 import hashlib
 import heapq
 import zlib
-from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count, repeat
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +101,50 @@ def _blocks(batches: Iterator[pa.RecordBatch], chars: int) -> Iterator[tuple[str
         yield f"{task}.{k}", ids, texts
 
 
+def _pieces(texts: pa.Array, pattern: str, spaced: bool) -> tuple[dict[str, int], list[np.ndarray], list[int], list[int], list[int]]:
+    """The distinct words of a block's texts with their numbers, for each text the numbers of its pieces, for each piece where its words begin and
+    end in a list of numbers of words, and this list. With spaced (see encode), a text is cut at every space before a character that
+    is no blank, and each distinct piece is split once; else its words are its pieces."""
+    import regex
+
+    split, cut, blank = regex.compile(pattern), regex.compile(r" (?=\S)"), regex.compile(r"\s")
+    number: dict[str, int] = defaultdict(count().__next__)
+    if not spaced:
+        places = [np.array(list(map(number.__getitem__, split.findall(t))), np.uint32) for t in texts.to_pylist()]
+        return number, places, list(range(len(number))), list(range(1, len(number) + 1)), list(range(len(number)))
+    lists = pc.split_pattern(texts, " ")
+    ends, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+    at, known = coded.indices.to_numpy().copy(), coded.dictionary
+    # what can't follow a space as a piece: nothing, and blanks
+    begins = pc.utf8_slice_codeunits(known, 0, 1).dictionary_encode()
+    odd = np.array([not c or blank.match(c) is not None for c in begins.dictionary.to_pylist()], bool)[begins.indices.to_numpy()]
+    # others, cut one by one, are numbered behind these: firsts, which have no space before them, and pieces of texts with such blanks
+    more: dict[tuple[bool, str], int] = defaultdict(count(len(known)).__next__)
+    starts = ends[:-1]
+    wrong = odd[at]
+    wrong[starts] = False
+    at[starts] = [more[True, k] for k in known.take(pa.array(at[starts])).to_pylist()]
+    places = np.split(at, ends[1:-1]) if len(starts) else []
+    for i in np.flatnonzero(np.add.reduceat(wrong, starts) if len(starts) else starts).tolist():
+        first, *others = cut.split(texts[i].as_py())
+        places[i] = np.array([more[True, first], *[more[False, k] for k in others]], at.dtype)
+    # pieces are split all at once: each begins with a match of its own
+    plain = known.filter(pa.array(~odd))
+    spaces = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (" ", plain, "")))
+    joined = str(memoryview(spaces.buffers()[2])[: pc.sum(pc.binary_length(spaces)).as_py()], "utf-8") if len(plain) else ""
+    found = split.findall(joined)
+    lo, hi = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
+    hi[~odd] = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), np.cumsum(pc.utf8_length(spaces).to_numpy()), "right")
+    lo[~odd] = np.concatenate([[0], hi[~odd][:-1]])[: len(plain)]
+    lo, hi = lo.tolist(), hi.tolist()
+    for first, k in more:
+        own = split.findall(k if first else " " + k)
+        lo.append(len(found))
+        found += own
+        hi.append(len(found))
+    return number, places, lo, hi, list(map(number.__getitem__, found))
+
+
 def _by_bucket(words: dict[str, object], buckets: int) -> dict[int, tuple[list[bytes], list[int]]]:
     """Distinct words, dealt by hash, and their numbers. Words stay in the order in which a block's texts
     first have them, so that both sides list them alike."""
@@ -140,6 +184,14 @@ def _bytes_of(ids: list[int], table: dict[int, bytes]) -> bytes:
     return b"".join(map(table.__getitem__, ids))
 
 
+def _by_id(ranks: dict[bytes, int]) -> np.ndarray:
+    """The bytes of each token at its id; an id without one has None, which can't be joined."""
+    out = np.full(max(ranks.values()) + 1, None, object)
+    for token, i in ranks.items():
+        out[i] = token
+    return out
+
+
 def decode(rows: DataFrame, ranks_file: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows and out: the bytes of the tokens whose ids stand in an array column, in order, by the table of token bytes (a
     vocabulary, whose size doesn't depend on the data). No ids give no bytes; null gives null; an id that the table lacks, and
@@ -154,19 +206,23 @@ def decode(rows: DataFrame, ranks_file: bytes, ids: str = "ids", out: str = "dec
     return rows.withColumn(out, joined(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def round_trip(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, spaced: bool = False) -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256 and bypassed (see encode). What is decoded is a row's ids as they were put
     together, not its words, and in the task that has them, so that ids need not travel."""
-    return encode(docs, ranks_file, pattern, id_col, text, block_chars, back=True).drop("ids")
+    return encode(docs, ranks_file, pattern, id_col, text, block_chars, back=True, spaced=spaced).drop("ids")
 
 
-def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, back: bool = False) -> DataFrame:
+def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, back: bool = False, spaced: bool = False) -> DataFrame:
     """id_col, n_tokens, ids_sha256 (of the decimal ids, joined by commas), ids and bypassed for each row. With back, ids are null
     and there is decoded_sha256, of the bytes that they decode to.
 
     A null text counts as empty (no ids). Repeated rows are encoded like any other; no rows give no rows. A block
     that finds words other than those it sent (a task that was run again over rows in another order)
     encodes the missing ones itself, so its result is the same; bypassed tells how many words of a row's block that were.
+
+    spaced: the pattern matches every character, has a match begin at every space before a character that is no blank, and what it
+    matches before that space doesn't depend on what follows it. Texts are split piece by piece then, each distinct piece of a
+    block once; texts where a space stands before another blank are cut by a regular expression, which is slower.
     """
     ranks = _ranks(ranks_file)
     spark = docs.sparkSession
@@ -177,15 +233,9 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
     id_type = slim.schema["id"].dataType
 
     def send_words(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split = regex.compile(pattern)
-
         def rows():
             for name, _, texts in _blocks(it, block_chars):
-                seen: dict[str, None] = {}
-                for t in texts:
-                    seen.update(zip(split.findall(t), repeat(None)))
+                seen = _pieces(pa.array(texts, pa.large_string()), pattern, spaced)[0]
                 for bucket, (words, _) in _by_bucket(seen, buckets).items():
                     yield bucket, name, 0, _pack(words)
 
@@ -222,10 +272,8 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
         return _batches(rows())
 
     def reassemble(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        split, table = regex.compile(pattern), shared.value
-        tokens = {i: token for token, i in table.items()} if back else {}
+        table = shared.value
+        tokens = _by_id(table) if back else None
         at, came = None, {}
         for bucket, block, kind, body in _streams(it):
             if block != at:
@@ -234,11 +282,9 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
                 came[bucket] = body
                 continue
             held = pa.ipc.open_stream(body).read_all()
-            texts = held.column("text").to_pylist()
-            # each text becomes the numbers of its words by position; ids are kept for each word
-            number: dict[str, int] = defaultdict(count().__next__)
-            places = [array("I", map(number.__getitem__, split.findall(t))) for t in texts]
-            del texts
+            # each text becomes the numbers of its pieces by position; ids are kept for each word, then for each piece
+            number, places, begins, ends, numbers_of = _pieces(held.column("text").combine_chunks(), pattern, spaced)
+            held = held.drop_columns("text")
             ids, listed, bypassed = [b""] * len(number), [""] * len(number), 0
             for k, (words, numbers) in _by_bucket(number, buckets).items():
                 sent = came.pop(k, b"")
@@ -251,17 +297,20 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
                 at_token = 0
                 for i, e in zip(numbers, packed):
                     end = at_token + len(e) // 4
-                    ids[i], listed[i] = e, ",".join(names[at_token:end])
+                    ids[i], listed[i] = e, "".join([x + "," for x in names[at_token:end]])
                     at_token = end
             del number
+            each, names = [ids[i] for i in numbers_of], [listed[i] for i in numbers_of]
+            ids, listed = [b"".join(each[a:b]) for a, b in zip(begins, ends)], ["".join(names[a:b]) for a, b in zip(begins, ends)]
+            del each, names, begins, ends, numbers_of
             for lo in range(0, len(places), BATCH):
-                part = places[lo : lo + BATCH]
-                shas = [hashlib.sha256(",".join(map(listed.__getitem__, p)).encode()).hexdigest() for p in part]
+                part = [p.tolist() for p in places[lo : lo + BATCH]]
+                shas = [hashlib.sha256("".join(map(listed.__getitem__, p))[:-1].encode()).hexdigest() for p in part]
                 whole = [b"".join(map(ids.__getitem__, p)) for p in part]
                 sizes = np.array([len(w) // 4 for w in whole], np.int64)
                 if back:
                     lists = pa.nulls(len(part), pa.list_(pa.int32()))
-                    decoded = pa.array([hashlib.sha256(_bytes_of(np.frombuffer(w, "<u4").tolist(), tokens)).hexdigest() for w in whole], pa.string())
+                    decoded = pa.array([hashlib.sha256(b"".join(tokens[np.frombuffer(w, "<u4")].tolist())).hexdigest() for w in whole], pa.string())
                 else:
                     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(whole), "<u4").astype(np.int32)))
                     decoded = pa.nulls(len(part), pa.string())
