@@ -107,7 +107,7 @@ def _pieces(texts: pa.Array, pattern: str, spaced: bool) -> tuple[dict[str, int]
     is no blank, and each distinct piece is split once; else its words are its pieces."""
     import regex
 
-    split, cut, blank = regex.compile(pattern), regex.compile(r" (?=\S)"), regex.compile(r"\s")
+    split, blank = regex.compile(pattern), regex.compile(r"\s")
     number: dict[str, int] = defaultdict(count().__next__)
     if not spaced:
         places = [np.array(list(map(number.__getitem__, split.findall(t))), np.uint32) for t in texts.to_pylist()]
@@ -118,16 +118,18 @@ def _pieces(texts: pa.Array, pattern: str, spaced: bool) -> tuple[dict[str, int]
     # what can't follow a space as a piece: nothing, and blanks
     begins = pc.utf8_slice_codeunits(known, 0, 1).dictionary_encode()
     odd = np.array([not c or blank.match(c) is not None for c in begins.dictionary.to_pylist()], bool)[begins.indices.to_numpy()]
-    # others, cut one by one, are numbered behind these: firsts, which have no space before them, and pieces of texts with such blanks
+    # others are numbered behind these: firsts, which have no space before them, and the words of texts with such blanks, which are split whole
     more: dict[tuple[bool, str], int] = defaultdict(count(len(known)).__next__)
     starts = ends[:-1]
     wrong = odd[at]
     wrong[starts] = False
+    whole = np.flatnonzero(np.add.reduceat(wrong, starts) if len(starts) else starts)
+    if 2 * len(whole) > len(starts):
+        return _pieces(texts, pattern, False)
     at[starts] = [more[True, k] for k in known.take(pa.array(at[starts])).to_pylist()]
     places = np.split(at, ends[1:-1]) if len(starts) else []
-    for i in np.flatnonzero(np.add.reduceat(wrong, starts) if len(starts) else starts).tolist():
-        first, *others = cut.split(texts[i].as_py())
-        places[i] = np.array([more[True, first], *[more[False, k] for k in others]], at.dtype)
+    for i in whole.tolist():
+        places[i] = np.array([more[False, w] for w in split.findall(texts[i].as_py())], at.dtype)
     # pieces are split all at once: each begins with a match of its own
     plain = known.filter(pa.array(~odd))
     spaces = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in (" ", plain, "")))
@@ -138,7 +140,7 @@ def _pieces(texts: pa.Array, pattern: str, spaced: bool) -> tuple[dict[str, int]
     lo[~odd] = np.concatenate([[0], hi[~odd][:-1]])[: len(plain)]
     lo, hi = lo.tolist(), hi.tolist()
     for first, k in more:
-        own = split.findall(k if first else " " + k)
+        own = split.findall(k) if first else [k]
         lo.append(len(found))
         found += own
         hi.append(len(found))
@@ -222,7 +224,8 @@ def encode(docs: DataFrame, ranks_file: bytes, pattern: str, id_col: str = "doc_
 
     spaced: the pattern matches every character, has a match begin at every space before a character that is no blank, and what it
     matches before that space doesn't depend on what follows it. Texts are split piece by piece then, each distinct piece of a
-    block once; texts where a space stands before another blank are cut by a regular expression, which is slower.
+    block once; texts where a space stands before another blank are split whole,
+    and so are all of a block if most are such.
     """
     ranks = _ranks(ranks_file)
     spark = docs.sparkSession
